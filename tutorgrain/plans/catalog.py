@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorgrain.plans import nested
+from tutorgrain.plans import dialogue, nested
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [nested]
+MODULES = [nested, dialogue]
 
 
 def queries() -> dict[str, Query]:
