@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorgrain.plans import dialogue, nested
+from tutorgrain.plans import dialogue, nested, scores, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [nested, dialogue]
+MODULES = [nested, dialogue, search, scores]
 
 
 def queries() -> dict[str, Query]:
