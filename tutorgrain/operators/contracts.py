@@ -1,0 +1,198 @@
+"""Validation of judge responses: JSON kept as text, typed by VARIANT, one array of error codes per row.
+
+VARIANT keeps the types that from_json erases. Checks are columns; a contract is an array of conditional codes, so a
+table of any size is validated in one scan without Python.
+"""
+
+from __future__ import annotations
+
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tutorgrain.operators.aggregate import DIMENSIONS, MACRO_DIMENSIONS
+
+TRUST_FLAGS = ["curriculum_hallucination", "student_context_hallucination", "domain_knowledge_hallucination"]
+QUOTES, QUOTE_CHARS, RATIONALE, REASON_CHARS = (1, 6), (4, 500), (20, 1400), 8
+
+
+def get(v: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def type_of(v: Column, path: str) -> Column:
+    """string, boolean, number, array, object, or null for JSON null; SQL null where the path is missing."""
+    t = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return (
+        F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").when(F.startswith(t, F.lit("ARRAY")), "array")
+        .when(F.startswith(t, F.lit("OBJECT")), "object").when(t.isNotNull(), "number")
+    )
+
+
+def codes(*cells: tuple[Column, str | Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), n if isinstance(n, Column) else F.lit(n)) for c, n in cells]))
+
+
+def normal_quote(text: Column) -> Column:
+    """Lower case, straight quotes, single blanks: how quotes are compared."""
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "’‘“”", "''\"\"")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def first_object(text: str | None) -> str | None:
+    """The first balanced JSON object after the last think tag, trying later braces if one fails; as JSON text."""
+    if not text:
+        return None
+    body = text.rpartition("</think>")[2]
+    read, at = json.JSONDecoder(), body.find("{")
+    while at >= 0:
+        try:
+            found, _ = read.raw_decode(body[at:])
+        except ValueError:
+            found = None
+        if isinstance(found, dict):
+            return json.dumps(found, ensure_ascii=False)
+        at = body.find("{", at + 1)
+    return None
+
+
+def _first_objects(texts: pd.Series) -> pd.Series:
+    return texts.map(first_object)
+
+
+def extract_object(text: Column) -> Column:
+    return F.pandas_udf(_first_objects, "string")(text)
+
+
+def _partial(v: Column, block: str, dim: str, applicability: Column) -> list[tuple[Column, str]]:
+    t, x = type_of(v, f"$.{block}.{dim}"), get(v, f"$.{block}.{dim}", "double")
+    name, na = f"{block}.{dim}", applicability == "not_applicable"
+    return [
+        (t.isNull(), f"{block}.missing:{dim}"),
+        (na & t.isNotNull() & (t != "null"), f"{name}:must_be_null_when_not_applicable"),
+        (~F.coalesce(na, F.lit(False)) & (t == "null"), f"{name}:null_only_allowed_when_not_applicable"),
+        (~F.coalesce(na, F.lit(False)) & t.isin("string", "boolean", "array", "object"), f"{name}:score_not_number"),
+        (~F.coalesce(na, F.lit(False)) & (t == "number") & ~x.isin(0.0, 0.5, 1.0), f"{name}:score_not_allowed"),
+    ]
+
+
+def macro_errors(v: Column, dialogue_id: Column) -> Column:
+    """Error codes of a macro response; ``v`` is the parsed VARIANT, null where the text is no JSON object."""
+    cells = [(type_of(v, f"$.{k}").isNull(), f"missing_required_field:{k}") for k in ("dialogue_id", "dimension_scores", "dimension_applicability", "evidence_pointers", "rationale_short")]
+    missing = codes(*cells)
+    deep: list[tuple[Column, str]] = [(get(v, "$.dialogue_id", "string") != dialogue_id, "dialogue_id_mismatch")]
+    for d in MACRO_DIMENSIONS:
+        a = get(v, f"$.dimension_applicability.{d}", "string")
+        deep.append((~F.coalesce(a.isin("applicable", "not_applicable"), F.lit(False)), f"dimension_applicability.{d}:invalid"))
+        deep += _partial(v, "dimension_scores", d, a)
+    pointers = get(v, "$.evidence_pointers", "array<struct<dimension:string,exchange_id:string,quote:string>>")
+    deep += [
+        (type_of(v, "$.evidence_pointers") != "array", "evidence_pointers:not_list"),
+        (F.exists(pointers, lambda p: ~F.coalesce(p.dimension.isin(MACRO_DIMENSIONS), F.lit(False))), "evidence_pointers:unknown_dimension"),
+        (F.exists(pointers, lambda p: F.length(F.trim(F.coalesce(p.quote, F.lit("")))) < QUOTE_CHARS[0]), "evidence_pointers:quote_too_short"),
+        (type_of(v, "$.rationale_short") != "string", "rationale_short:not_string"),
+        (F.length(F.trim(get(v, "$.rationale_short", "string"))) < RATIONALE[0], "rationale_short:too_short"),
+        (F.length(get(v, "$.rationale_short", "string")) > RATIONALE[1], "rationale_short:too_long"),
+    ]
+    return F.when(v.isNull() | (F.size(missing) > 0), F.when(v.isNull(), F.array(F.lit("unparseable"))).otherwise(missing)).otherwise(codes(*deep))
+
+
+def segment_errors(v: Column, segment_id: Column, mode: Column, segment_text: Column, units: Column) -> Column:
+    """Error codes of a segment response (contract of ten dimensions, trust flags, adjustments, grounding and quotes).
+
+    Booleans are no numbers here. Rows that lack required fields get only those codes.
+    """
+    required = ["segment_id", "evaluation_mode", "dimension_applicability", "raw_dimension_scores", "dimension_scores", "trust_flags", "micro_score_raw", "micro_score_dependency_adjusted", "trust_adjusted_score", "dependency_adjustments", "kc_grounding", "flags", "evidence_quotes", "rationale_short"]
+    missing = codes(*[(type_of(v, f"$.{k}").isNull(), f"missing_required_field:{k}") for k in required])
+    deep: list[tuple[Column, str]] = [
+        (type_of(v, "$.segment_id") != "string", "segment_id:not_string"), (get(v, "$.segment_id", "string") != segment_id, "segment_id_mismatch"),
+        (get(v, "$.evaluation_mode", "string") != mode, "evaluation_mode_mismatch"),
+    ]
+    for d in DIMENSIONS:
+        a = get(v, f"$.dimension_applicability.{d}", "string")
+        deep.append((~F.coalesce(a.isin("applicable", "not_applicable"), F.lit(False)), f"dimension_applicability.{d}:invalid"))
+        deep += _partial(v, "raw_dimension_scores", d, a) + _partial(v, "dimension_scores", d, a)
+    for f in TRUST_FLAGS:
+        x = get(v, f"$.trust_flags.{f}", "double")
+        deep.append((~F.coalesce((type_of(v, f"$.trust_flags.{f}") == "number") & x.isin(0.0, 1.0), F.lit(False)), f"trust_flags.{f}:must_be_0_or_1"))
+    for k in ("micro_score_raw", "micro_score_dependency_adjusted", "trust_adjusted_score"):
+        x = get(v, f"$.{k}", "double")
+        deep += [(type_of(v, f"$.{k}") != "number", f"{k}:not_number"), ((type_of(v, f"$.{k}") == "number") & ((x < 0) | (x > 1)), f"{k}:out_of_range_0_1")]
+    adj = get(v, "$.dependency_adjustments", "array<struct<rule_id:string,applied:boolean,reason:string,affected_dimensions:array<string>>>")
+    quotes = get(v, "$.evidence_quotes", "array<string>")
+    used = get(v, "$.kc_grounding.context_kcs_used", "array<string>")
+    text = normal_quote(segment_text)
+    deep += [
+        (type_of(v, "$.dependency_adjustments") != "array", "dependency_adjustments:not_list"),
+        (F.exists(adj, lambda a: F.coalesce(a.rule_id, F.lit("")) == ""), "dependency_adjustments.rule_id:invalid"),
+        (F.exists(adj, lambda a: a.applied.isNull()), "dependency_adjustments.applied:not_boolean"),
+        (F.exists(adj, lambda a: F.length(F.trim(F.coalesce(a.reason, F.lit("")))) < REASON_CHARS), "dependency_adjustments.reason:too_short"),
+        (F.exists(adj, lambda a: F.size(F.array_except(a.affected_dimensions, F.array(*map(F.lit, DIMENSIONS)))) > 0), "dependency_adjustments.affected_dimensions:unknown_dimension"),
+        (F.exists(adj, lambda a: a.applied & (F.size(a.affected_dimensions) == 0)), "dependency_adjustments.affected_dimensions:empty_when_applied"),
+        (type_of(v, "$.kc_grounding.primary_kc_used") != "boolean", "kc_grounding.primary_kc_used:not_boolean"),
+        (F.size(F.array_except(used, units)) > 0, "kc_grounding.context_kcs_used:kc_not_in_packet"),
+        (type_of(v, "$.evidence_quotes") != "array", "evidence_quotes:not_list"),
+        (F.size(quotes) < QUOTES[0], "evidence_quotes:empty"), (F.size(quotes) > QUOTES[1], "evidence_quotes:too_many"),
+        (F.exists(quotes, lambda q: F.length(F.trim(q)) < QUOTE_CHARS[0]), "evidence_quotes:too_short"),
+        (F.exists(quotes, lambda q: F.length(F.trim(q)) > QUOTE_CHARS[1]), "evidence_quotes:too_long"),
+        (F.exists(quotes, lambda q: ~F.contains(text, normal_quote(q))), "evidence_quotes:not_found_in_segment_text"),
+        (F.length(F.trim(get(v, "$.rationale_short", "string"))) < RATIONALE[0], "rationale_short:too_short"),
+        (F.length(get(v, "$.rationale_short", "string")) > RATIONALE[1], "rationale_short:too_long"),
+        (F.lower(get(v, "$.rationale_short", "string")).rlike("chain of thought|hidden reasoning|my (step-by-step|internal) reasoning"), "rationale_short:mentions_hidden_reasoning"),
+    ]
+    return F.when(v.isNull(), F.array(F.lit("unparseable"))).when(F.size(missing) > 0, missing).otherwise(codes(*deep))
+
+
+def factuality_verdict(severities: Column) -> Column:
+    """supported without errors, contradicted with a material one, else minor_issue."""
+    return F.when(F.size(severities) <= 0, "supported").when(F.exists(severities, lambda s: F.lower(s) == "material"), "contradicted").otherwise("minor_issue")
+
+
+def solution_control(revelation: Column, warrant: Column) -> Column:
+    """1 if nothing is revealed or the revelation is warranted, 0.5 for a partial, 0 for a full unwarranted one."""
+    free = revelation.isin("none", "not_revealed") | (warrant == "warranted")
+    return F.when(revelation.isNull(), None).when(F.coalesce(free, F.lit(False)), 1.0).when(revelation == "partial", 0.5).otherwise(0.0)
+
+
+def batch_report(prompts: DataFrame, responses: DataFrame, key: str, errors: str) -> DataFrame:
+    """(prompts, responses, valid, invalid, missing, duplicates, status) of a validation run."""
+    p = prompts.select(key).distinct()
+    seen = responses.select(key).distinct()
+    gone = p.join(seen, key, "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    total = p.agg(F.count(F.lit(1)).alias("prompts"))
+    r = responses.agg(F.count(F.lit(1)).alias("responses"), F.count_if(F.size(errors) == 0).alias("valid"), F.count_if(F.size(errors) > 0).alias("invalid"), (F.count(F.lit(1)) - F.count_distinct(key)).alias("duplicates"))
+    out = r.crossJoin(F.broadcast(gone)).crossJoin(F.broadcast(total))  # one row each
+    ok = (F.col("invalid") == 0) & (F.col("missing") == 0) & (F.col("duplicates") == 0)
+    return out.withColumn("status", F.when(ok, "PASS").otherwise("FAIL"))
+
+
+def row_hash(*columns: Column) -> Column:
+    """SHA-256 over the columns' JSON, for rows that must not change."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)])), 256)
+
+
+def longest_common(a: str | None, b: str | None) -> int:
+    """Length of the longest common substring, by a rolling row of match lengths."""
+    if not a or not b:
+        return 0
+    if a in b or b in a:
+        return min(len(a), len(b))
+    places: dict[str, list[int]] = {}
+    for j, c in enumerate(b):
+        places.setdefault(c, []).append(j)
+    row: dict[int, int] = {}
+    best = 0
+    for c in a:
+        row = {j: row.get(j - 1, 0) + 1 for j in places.get(c, ())}
+        best = max(best, max(row.values(), default=0))
+    return best
+
+
+def _overlaps(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([longest_common(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def overlap_length(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_overlaps, "int")(a, b)

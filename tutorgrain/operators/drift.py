@@ -226,10 +226,6 @@ def match(gone: list[dict], new: list[dict], threshold: float = THRESHOLD) -> li
     return [(b, a) if flip else (a, b) for a, b, w in pairs if w > 0]
 
 
-_FIELD = "struct<field string, type string, n bigint, members bigint, shapes array<struct<n bigint, key string>>, slots array<struct<slot int, least bigint>>>"
-
-
-@F.pandas_udf("array<struct<old_field string, new_field string>>")
 def _renames(gone: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([[{"old_field": a, "new_field": b} for a, b in match(list(g), list(w))] for g, w in zip(gone, new)])
 
@@ -257,7 +253,7 @@ def changes(entries: DataFrame) -> DataFrame:
     steps = steps.withColumn("gone", F.array_sort("gone", lambda a, b: _by_name(a, b))).withColumn(
         "come", F.array_sort("come", lambda a, b: _by_name(a, b))
     )
-    steps = steps.withColumn("pairs", _renames("gone", "come"))
+    steps = steps.withColumn("pairs", F.pandas_udf(_renames, "array<struct<old_field string, new_field string>>")("gone", "come"))
 
     def change(kind: str, old: Column, new: Column) -> Column:
         return F.struct(F.lit(kind).alias("change_type"), old.alias("old_field"), new.alias("new_field"))
