@@ -99,7 +99,9 @@ def reply_scan(numbers, kinds) -> tuple[int, int, bool, int]:
     return first, at, missing, pending
 
 
-@F.pandas_udf("left_over int, first int, first_n long, missing boolean, pending long")
+_BLOCKS = "left_over int, first int, first_n long, missing boolean, pending long"
+
+
 def _blocks(numbers: pd.Series, stamps: pd.Series, kinds: pd.Series) -> pd.DataFrame:
     out = []
     for ns, ss, ks in zip(numbers, stamps, kinds):
@@ -118,7 +120,7 @@ def judge_conversations(turn_rows: DataFrame) -> DataFrame:
         F.collect_list(item).alias("x"), F.count_if(F.col("body").isNotNull()).alias("texts"),
         F.bool_or("clash").alias("clash"), F.bool_or(F.col("n").isNull()).alias("lost"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("c"),
     )
-    blocks = blocks.withColumn("s", _blocks("x.n", "x.at", "x.k"))
+    blocks = blocks.withColumn("s", F.pandas_udf(_blocks, _BLOCKS)("x.n", "x.at", "x.k"))
     whole = blocks.groupBy("d").agg(
         F.sum("texts").alias("texts"),
         (F.bool_or("clash") | F.bool_or("lost") | (F.max("s.left_over") > 0) | (F.sum("c") != F.max("hi") + 1)).alias("broken"),
