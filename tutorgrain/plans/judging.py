@@ -186,7 +186,8 @@ QUERIES = {f.__name__: f for f in (pass1_labels, multilabel_topk, abstention, co
 _P = search._POOL + """, pool25 AS (SELECT exchange_id, unit_id, reranked AS score, coalesce(eligible_for_dominant, false) AS eligible, coalesce(source_family_count, 0) >= 3 AS corroborated,
   coalesce(branch <> 'lexical', false) AS nonlexical, coalesce(source_family_count, 0) AS families, coalesce(candidate_state = 'reranked', false) AS is_candidate, local_best_score, pool_rank, branch FROM fp WHERE pool_rank <= 25)"""
 _SHARE = search.SQL["branch_share"].split(", b AS", 1)[1].rsplit("SELECT *, active", 1)[0]
-_J = "CASE WHEN json_valid(raw_response_text) AND trim(raw_response_text) <> '' THEN CAST(raw_response_text AS JSON) END"
+# DuckDB takes commas before a closing bracket for valid, JSON does not
+_J = "CASE WHEN json_valid(raw_response_text) AND NOT regexp_matches(raw_response_text, ',\\s*[}\\]]') THEN CAST(raw_response_text AS JSON) END"
 
 
 def _partial(dim: str) -> list[str]:
