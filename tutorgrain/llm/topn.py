@@ -19,6 +19,9 @@ BITS = 6
 CHUNK = 7  # identifier bytes in one digit: 56 bits, so digits stay positive
 
 
+NO_RANK = -(2**62)  # the digit of a missing rank; ranks lie between -2**61 and 2**61
+
+
 def score_code(score: Column) -> Column:
     """The IEEE bits of a double as a BIGINT that sorts as the double does; -0.0 counts as 0.0."""
     bits = F.call_function(
@@ -27,6 +30,12 @@ def score_code(score: Column) -> Column:
     return F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit(0x7FFFFFFFFFFFFFFF)))
 
 
+def score_digits(score: Column) -> list[Column]:
+    """The score's code as two digits of 32 bits, so that differences of digits cannot overflow."""
+    code = score_code(score)
+    return [F.shiftright(code, 32), code.bitwiseAND(F.lit(0xFFFFFFFF))]
+
+
 def identifier_digits(name: Column, digits: int) -> list[Column]:
     """Digits that sort a string descending by its UTF-8 bytes, the last one its length."""
     padded = F.rpad(F.hex(F.encode(name, "UTF-8")), digits * CHUNK * 2, "0")
@@ -50,11 +59,11 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, rank: str,
         F.col(score).cast("double").alias("s"),
         F.col(rank).cast("bigint").alias("r"),
     ).where("g IS NOT NULL AND i IS NOT NULL AND s IS NOT NULL AND NOT isnan(s)")
-    low = F.lit(-(2**63)).cast("bigint")
+    low = F.lit(NO_RANK).cast("bigint")
     first = rows.groupBy("g", "i").agg(F.max(F.struct(F.col("s"), F.coalesce(-F.col("r"), low).alias("m"))).alias("x"))
     first = materialize(first.select("g", "i", F.col("x.s").alias("s"), F.col("x.m").alias("m")), "topn-items")
     digits = max(1, -(-(first.agg(F.max(F.octet_length("i"))).first()[0] or 1) // CHUNK))
-    coded = first.withColumn("code", F.array(score_code(F.col("s")), F.col("m"), *identifier_digits(F.col("i"), digits)))
+    coded = first.withColumn("code", F.array(*score_digits(F.col("s")), F.col("m"), *identifier_digits(F.col("i"), digits)))
 
     cuts = _bisect(coded.select("g", "code"), n)
     kept = coded.join(cuts, "g").where(F.col("code") >= F.col("cut"))
@@ -92,7 +101,7 @@ def _bisect(coded: DataFrame, n: int) -> DataFrame:
         if open_groups.isEmpty():
             return _union(done)
         inside = active.join(open_groups, "g").where("code[was] BETWEEN was_lo AND was_hi")
-        # shift so that the interval, a power of two wide, falls into at most 2**BITS parts; unsigned, as hi - lo may wrap
+        # shift so that the interval, a power of two wide, falls into at most 2**BITS parts
         width = F.length(F.bin(F.col("hi") - F.col("lo")))
         part = F.expr(f"shiftrightunsigned(code[digit] - lo, CAST(greatest(0, width - {BITS}) AS INT))")
         inside = materialize(inside.withColumn("width", width).withColumn("part", part).drop("width"), "topn-open")
