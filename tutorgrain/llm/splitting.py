@@ -33,6 +33,10 @@ _SENTENCE = regex.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
 _CLAUSE = regex.compile(r"[,;:—–)][\"'”’»]*$")
 
 
+_LOOK, _ENDS, _PAUSES = frozenset(" \t\r\n\v\f"), frozenset(".!?…。！？\"'”’»)]*_"), frozenset(",;:—–")
+NEAR = 64  # tokens: between natural boundaries that lie closer, words are no candidates for an end
+
+
 def candidates(text: str, enc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(character, tokens before it, kind) of every candidate cut, with both ends of the text."""
     chars, counts, kinds = [0], [0], [0]
@@ -44,9 +48,16 @@ def candidates(text: str, enc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if size is None:
             size = sizes[word] = len(encode(enc, word))
         if at and not word.isspace():
+            before, spaced = text[at - 1], word[0] == " "
+            if before in _LOOK or (spaced and before in _ENDS):
+                kind = _kind(text, at)  # only places that may be more than the start of a word
+            elif spaced:
+                kind = 6 if before in _PAUSES else 7
+            else:
+                kind = 8 if before.isalnum() else 7
             chars.append(at)
             counts.append(total)
-            kinds.append(_kind(text, at))
+            kinds.append(kind)
         if size >= LONG_WORD:
             parts, offsets = enc.decode_with_offsets(encode(enc, word))
             for k in range(1, len(offsets)):
@@ -106,37 +117,40 @@ def _cut(text: str, enc, limit: int, overlap: int) -> list[tuple[int, int, int,
         return [(0, len(text), 0, "end")]
     penalty = np.array(PENALTY)[kinds]
     penalty[last] = 0.0
-    # where the next piece starts if one ends at candidate i: the mildest candidate within the overlap, the farthest of equals
-    start = np.arange(last + 1)
-    low = np.searchsorted(count, count - overlap, side="left")
-    for i in range(1, last):
-        if low[i] < i:
-            inside = np.minimum(penalty[low[i] : i], 8.0)
-            start[i] = low[i] + int(np.argmin(inside))
+    # ends: natural boundaries, and words where the next natural boundaries lie far apart
+    natural = np.flatnonzero(kinds <= 5)
+    gap = np.diff(count[natural])[np.searchsorted(natural, np.arange(last + 1), side="right").clip(1, len(natural) - 1) - 1]
+    end = np.flatnonzero((kinds <= 5) | (gap > NEAR))
+    penalty_of, count_of = penalty[end], count[end]
+    # where the next piece starts if one ends at an end: the mildest candidate within the overlap, the farthest of equals
+    start = end.copy()
+    low = np.searchsorted(count, count_of - overlap, side="left")
+    for k in range(1, len(end) - 1):
+        if low[k] < end[k]:
+            start[k] = low[k] + int(np.argmin(np.minimum(penalty[low[k] : end[k]], 8.0)))
     start[0] = 0
     begins = count[start]
     even = (total - overlap) / np.ceil((total - overlap) / (limit - overlap)) + overlap
-    cost = np.full(last + 1, np.inf)
+    cost = np.full(len(end), np.inf)
     cost[0] = 0.0
-    back = np.zeros(last + 1, dtype=np.int64)
-    first = np.searchsorted(count, count - limit, side="left")
-    for j in range(1, last + 1):
+    back = np.zeros(len(end), dtype=np.int64)
+    first = np.searchsorted(count_of, count_of - limit, side="left")
+    for j in range(1, len(end)):
         a = first[j]
-        size = count[j] - begins[a:j]
+        size = count_of[j] - begins[a:j]
         ways = cost[a:j] + BALANCE * ((size - even) / even) ** 2
         ways[size > limit] = np.inf
         k = int(np.argmin(ways))
-        cost[j] = ways[k] + penalty[j] + PIECE_COST
+        cost[j] = ways[k] + penalty_of[j] + PIECE_COST
         back[j] = a + k
-    ends = [last]
-    while back[ends[-1]] > 0:
-        ends.append(int(back[ends[-1]]))
-    ends.reverse()
+    steps = [len(end) - 1]
+    while back[steps[-1]] > 0:
+        steps.append(int(back[steps[-1]]))
     out, previous = [], 0
-    for e in ends:
-        s = int(start[previous]) if previous else 0
-        out.append((int(chars[s]), int(chars[e]), int(count[previous] - count[s]), "end" if e == last else KINDS[kinds[e]]))
-        previous = e
+    for j in reversed(steps):
+        s, e = int(start[previous]) if previous else 0, int(end[j])
+        out.append((int(chars[s]), int(chars[e]), int(count_of[previous] - count[s]), "end" if e == last else KINDS[kinds[e]]))
+        previous = j
     return out
 
 
