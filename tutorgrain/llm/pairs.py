@@ -47,14 +47,19 @@ _DONE = re.compile(r"""(?:[.!?…。]["'”’»)\]*_`]*|:\)|;\)|[)\]}`»”"]|[
 _RESULT = re.compile(r"(?:^|\s)(?:is|=|:|ist|es|est|equals|gives)\s+[-+]?\d+(?:[.,]\d+)?\s?%?$", re.I)
 SCAN = "empty boolean, copies boolean, other boolean, refusal boolean, ragged boolean, shape string, words int, starts array<string>, added double"
 SHAPE_WORDS = 6
+_UNSEEN = frozenset(("Cf", "Cc", "Zs", "Zl", "Zp", "Cn", "Co"))
+_INVISIBLE = "".join(chr(c) for c in (*range(33), 127, 0xA0, 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 
 
 def visible(text: str | None) -> str:
     """The text without white space and invisible characters at its ends."""
     if not text:
         return ""
-    cut = [k for k, c in enumerate(text) if not (c.isspace() or unicodedata.category(c) in ("Cf", "Cc", "Zs", "Cn", "Co"))]
-    return text[cut[0] : cut[-1] + 1] if cut else ""
+    text = text.strip(_INVISIBLE)
+    if text and (unicodedata.category(text[0]) in _UNSEEN or unicodedata.category(text[-1]) in _UNSEEN):
+        seen = [k for k, c in enumerate(text) if not (c.isspace() or unicodedata.category(c) in _UNSEEN)]
+        return text[seen[0] : seen[-1] + 1] if seen else ""
+    return text
 
 
 def is_empty(answer: str) -> bool:
@@ -129,11 +134,12 @@ def only_copies(prompt: str, answer: str) -> bool:
 
 def is_ragged(answer: str) -> bool:
     """The final words lack an end: no terminator, a broken character, a cut word or an abbreviation that dangles."""
-    if _DANGLING.search(answer):
+    tail = answer[-40:]  # the patterns look at the last characters only
+    if _DANGLING.search(tail):
         return True
     if answer.count("```") % 2:
         return True
-    return not _DONE.search(answer)
+    return not _DONE.search(tail)
 
 
 def scan_pair(prompt: str | None, answer: str | None) -> tuple:
@@ -146,10 +152,12 @@ def scan_pair(prompt: str | None, answer: str | None) -> tuple:
     spoken, asked = language(a), language(p)
     other = spoken is not None and asked is not None and spoken != asked
     ragged = is_ragged(a) and not (_RESULT.search(a) and len(a.split()) <= 8)
-    tokens = re.sub(r"\d+(?:[.,]\d+)*", "#", a.lower()).split()
-    starts = [" ".join(tokens[:k]) for k in range(1, min(len(tokens), SHAPE_WORDS) + 1)]
-    shape = starts[-1] if len(tokens) <= SHAPE_WORDS else None
-    return (False, copies, other, refusal, ragged, shape, len(tokens), starts, share)
+    words = a.split(None, SHAPE_WORDS)
+    count = len(words) if len(words) <= SHAPE_WORDS else SHAPE_WORDS + len(words[-1].split())
+    tokens = re.sub(r"\d+(?:[.,]\d+)*", "#", " ".join(words[:SHAPE_WORDS]).lower()).split()
+    starts = [" ".join(tokens[:k]) for k in range(1, len(tokens) + 1)]
+    shape = starts[-1] if count <= SHAPE_WORDS else None
+    return (False, copies, other, refusal, ragged, shape, count, starts, share)
 
 
 def find_defects(df: DataFrame, pair_id: str, prompt: str, answer: str) -> DataFrame:
