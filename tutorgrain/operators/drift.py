@@ -9,7 +9,6 @@ removals and additions. Rename links then join the names of one field over all f
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import re
@@ -18,12 +17,13 @@ from datetime import datetime, timezone
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgrain.storage import materialize
 
-SLOTS = 128
+SLOTS = 64
 THRESHOLD = 0.5
 _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
 _ISO = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:?\d\d)?$")
@@ -81,9 +81,40 @@ def _shape(text: str) -> str:
     return out[:40]
 
 
-def _slot(token: str) -> tuple[int, int]:
-    h = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "big")
-    return h % SLOTS, (h // SLOTS) & 0x7FFFFFFFFFFFFFFF
+_SLOT_NAMES = [str(k) for k in range(SLOTS)]
+
+
+def _slot(token: str) -> tuple[str, int]:
+    h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
+    return _SLOT_NAMES[h % SLOTS], h // SLOTS
+
+
+OPEN_FIELDS = 50_000  # fields of files that a task keeps open before it gives them out
+
+
+def _count(found: dict[tuple, list[int]], key: tuple, n: int = 1) -> None:
+    entry = found.get(key)
+    if entry is None:
+        found[key] = [n, 0]
+    else:
+        entry[0] += n
+
+
+def _profile_value(found: dict[tuple, list[int]], value) -> None:
+    """Add a field's value to its profile: type, members, shapes and the least hash of each sketch slot."""
+    _count(found, ("type", _TYPES[type(value)]))
+    tokens = tokens_of(value)
+    _count(found, ("members", ""), len(tokens))
+    for token, shape in tokens:
+        _count(found, ("shape", shape))
+        slot, h = _slot(token)
+        entry = found.get(("slot", slot))
+        if entry is None:
+            found["slot", slot] = [1, h]
+        else:
+            entry[0] += 1
+            if h < entry[1]:
+                entry[1] = h
 
 
 def profile(df: DataFrame, corpus: str, file: str, written_at: str, payload: str) -> DataFrame:
@@ -94,38 +125,34 @@ def profile(df: DataFrame, corpus: str, file: str, written_at: str, payload: str
     """
     names = [x.split()[0] for x in _PROFILE.split(", ")]
 
+    types = [pa.string()] * 3 + [pa.timestamp("us", "UTC")] + [pa.string()] * 2 + [pa.int64()] * 2
+
+    def flush(parts: dict[tuple, dict[tuple, list[int]]]) -> pa.RecordBatch:
+        cells = [(h[0], h[1], h[2], h[3], *k, *v) for h, found in parts.items() for k, v in found.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names=names)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[tuple, dict[tuple, list[int]]] = {}
         for batch in batches:
-            parts: dict[tuple, list[int]] = {}
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            for name, path, at, text in rows:
-                head = (name, path, at)
-                parts.setdefault((head, "*", "file", ""), [0, 0])[0] += 1
+            for name, path, at, text in zip(*(c.to_pylist() for c in batch.columns)):
+                _count(parts.setdefault((name, path, "*", at), {}), ("file", ""))
                 try:
                     line = json.loads(text) if text else None
                 except (ValueError, RecursionError):
                     continue
-                if not isinstance(line, dict):
-                    continue
-                for field, value in line.items():
-                    if value is None:
-                        continue
-                    parts.setdefault((head, field, "type", _TYPES[type(value)]), [0, 0])[0] += 1
-                    found = tokens_of(value)
-                    parts.setdefault((head, field, "members", ""), [0, 0])[0] += len(found)
-                    for token, shape in found:
-                        parts.setdefault((head, field, "shape", shape), [0, 0])[0] += 1
-                        slot, h = _slot(token)
-                        entry = parts.setdefault((head, field, "slot", str(slot)), [0, h])
-                        entry[0], entry[1] = entry[0] + 1, min(entry[1], h)
-            if parts:
-                cells = [(h[0], h[1], field, h[2], kind, key, n, least) for (h, field, kind, key), (n, least) in parts.items()]
-                columns = list(zip(*cells))
-                types = [pa.string()] * 3 + [pa.timestamp("us", "UTC")] + [pa.string()] * 2 + [pa.int64()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+                for field, value in line.items() if isinstance(line, dict) else ():
+                    if value is not None:
+                        _profile_value(parts.setdefault((name, path, field, at), {}), value)
+            if len(parts) > OPEN_FIELDS:
+                yield flush(parts)
+                parts = {}
+        if parts:
+            yield flush(parts)
 
     lines = df.select(F.col(corpus).cast("string").alias("a"), F.col(file).cast("string").alias("b"), F.col(written_at).cast("timestamp").alias("c"), F.col(payload).cast("string").alias("d"))
-    entries = lines.where("b IS NOT NULL").mapInArrow(scan, _PROFILE)
+    # lines of a file come together, so a task merges them before anything is shuffled; a large file spans several ranges
+    lines = lines.where("b IS NOT NULL").repartitionByRange("a", "b", F.xxhash64("d"))
+    entries = lines.mapInArrow(scan, _PROFILE)
     return entries.groupBy("corpus", "file", "field", "kind", "key").agg(
         F.min("written_at").alias("written_at"), F.sum("n").alias("n"), F.min("least").alias("least")
     )
