@@ -156,15 +156,21 @@ def retrieval_tokens(text: Column) -> Column:
 
 
 def ngrams(tokens: Column, low: int = 2, high: int = 4) -> Column:
-    """Distinct n-grams of ``low`` to ``high`` tokens, in order of length and place."""
+    """Distinct n-grams of ``low`` to ``high`` tokens, in order of length and place.
+
+    The tokens are bound once by an outer lambda; written into the inner one, they would be computed for every n-gram.
+    """
     none = F.array().cast("array<string>")
 
-    def of(n: int) -> Column:
-        count = F.size(tokens) - n + 1
+    def of(t: Column, n: int) -> Column:
+        count = F.size(t) - n + 1
         starts = F.sequence(F.lit(1), F.greatest(count, F.lit(1)))
-        return F.when(count >= 1, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))).otherwise(none)
+        return F.when(count >= 1, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(t, i, n)))).otherwise(none)
+
+    def build(t: Column) -> Column:
+        return F.array_distinct(F.flatten(F.array(*[of(t, n) for n in range(low, high + 1)])))
 
-    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(low, high + 1)])))
+    return F.transform(F.array(tokens), build)[0]
 
 
 def acronyms(text: Column) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tutorgrain.plans import dialogue, judging, nested, scores, search
+from tutorgrain.plans import checking, dialogue, judging, nested, scores, search
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = [nested, dialogue, search, scores, judging]
+MODULES = [nested, dialogue, search, scores, judging, checking]
 
 
 def queries() -> dict[str, Query]:
