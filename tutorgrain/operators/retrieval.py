@@ -54,13 +54,27 @@ def postings(library: DataFrame) -> DataFrame:
     return joined.where(F.col("df") / F.col("units") < F.col("ceiling")).select("field", "token", "unit_id", gain.alias("gain"))
 
 
+SMALL_SIDE = 2_000_000  # postings up to this number are broadcast; larger ones are joined by shuffling both sides
+
+
+def _by_query(asked: DataFrame, side: DataFrame, on: str) -> DataFrame:
+    """``asked`` joined with postings so that a query's rows stay together if the postings are few.
+
+    Counted first: few postings are broadcast to query tokens that lie by query, so scoring, normalising and ranking
+    need no further shuffle of (query, unit) rows.
+    """
+    if side.limit(SMALL_SIDE + 1).count() > SMALL_SIDE:
+        return asked.join(side, on)
+    return asked.repartition("q").join(F.broadcast(side), on)
+
+
 def bm25(queries: DataFrame, key: str, text: str, library: DataFrame) -> DataFrame:
     """(key, unit_id, bm25_raw, bm25_score, bm25_rank): every unit with a positive score, ranked within the query.
 
     Scores are rounded to six places before ranking, ties go to the lower unit id; null and empty queries give no rows.
     """
     asked = queries.select(F.col(key).alias("q"), F.explode(F.array_distinct(T.retrieval_tokens(F.col(text)))).alias("token"))
-    raw = asked.join(postings(library), "token").groupBy("q", "unit_id").agg(F.round(F.sum("gain"), 6).alias("bm25_raw"))
+    raw = _by_query(asked, postings(library), "token").groupBy("q", "unit_id").agg(F.round(F.sum("gain"), 6).alias("bm25_raw"))
     per_query = Window.partitionBy("q")
     return raw.where("bm25_raw > 0").select(
         F.col("q").alias(key), "unit_id", "bm25_raw",
@@ -102,7 +116,7 @@ def char_tfidf(queries: DataFrame, key: str, text: str, library: DataFrame) -> D
     asked = queries.select(F.col(key).alias("q"), F.explode(char_grams(F.col(text))).alias("gram")).groupBy("q", "gram").agg(F.count(F.lit(1)).alias("tf"))
     asked = asked.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = asked.groupBy("q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scored = asked.join(units, "gram").groupBy("q", "unit_id").agg(F.sum(F.col("w") * F.col("u")).alias("dot")).join(lengths, "q")
+    scored = _by_query(asked, units, "gram").groupBy("q", "unit_id").agg(F.sum(F.col("w") * F.col("u")).alias("dot")).join(lengths, "q")
     scored = scored.select("q", "unit_id", F.round(F.col("dot") / F.col("norm"), 6).alias("char_score")).where("char_score > 0")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("char_score").desc(), "unit_id"))
     return scored.select(F.col("q").alias(key), "unit_id", "char_score", rank.alias("char_rank"))
