@@ -147,22 +147,29 @@ def merge_views(bm25_rows: DataFrame, char_rows: DataFrame, key: str, top_k: int
     return out.withColumn("hybrid_rank", F.row_number().over(order)).where(F.col("hybrid_rank") <= top_k)
 
 
+DENSE_UNITS = 20_000
+
+
 def dense_top_k(queries: DataFrame, key: str, units: DataFrame, unit: str, vector: str, k: int) -> DataFrame:
     """(key, unit, dense_score, dense_rank): dot products of unit-length vectors, the ``k`` best per query.
 
-    Every query row meets every row of the unit set, a library of fixed size; its sums stay in the JVM.
+    The unit set is a library: it is counted and travels as one array, so a query's row is scored and cut to its ``k``
+    best where it lies, without a shuffle. Sets of more than ``DENSE_UNITS`` vectors raise an error.
     """
-    def unit_length(c: Column) -> Column:
-        d = F.transform(c, lambda x: x.cast("double"))
-        norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(d, lambda x: x / norm)
-
-    q = queries.select(F.col(key).alias("q"), unit_length(F.col(vector)).alias("qv"))
-    u = units.select(F.col(unit).alias("u"), unit_length(F.col(vector)).alias("uv"))
-    dot = F.aggregate(F.zip_with("qv", "uv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = q.crossJoin(u).select("q", "u", F.round(dot, 6).alias("dense_score"))
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("dense_score").desc(), "u"))
-    return scored.withColumn("dense_rank", rank).where(F.col("dense_rank") <= k).select(F.col("q").alias(key), F.col("u").alias(unit), "dense_score", "dense_rank")
+
+    def scaled(df: DataFrame, name: str) -> DataFrame:
+        d = F.transform(F.col(vector), lambda x: x.cast("double"))
+        with_norm = df.select(F.col(name).alias("id"), d.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+        return with_norm.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
+
+    if units.limit(DENSE_UNITS + 1).count() > DENSE_UNITS:
+        raise ValueError(f"more than {DENSE_UNITS} units")
+    library = scaled(units, unit).agg(F.collect_list(F.struct("id", "v")).alias("units"))
+    q = scaled(queries, key).select(F.col("id").alias("q"), F.col("v").alias("qv")).crossJoin(F.broadcast(library))  # one row
+    dot = lambda u: F.round(F.aggregate(F.zip_with("qv", u.v, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
+    scored = F.array_sort(F.transform("units", lambda u: F.struct((-dot(u)).alias("s"), u.id.alias("u"))))
+    best = q.select("q", F.posexplode(F.slice(scored, 1, k)).alias("p", "x"))
+    return best.select(F.col("q").alias(key), F.col("x.u").alias(unit), (-F.col("x.s")).alias("dense_score"), (F.col("p") + 1).alias("dense_rank"))
 
 
 def reciprocal_rank_fusion(ranks: DataFrame, key: str, unit: str = "unit_id", k: int = RRF_K) -> DataFrame:
