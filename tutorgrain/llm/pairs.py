@@ -181,7 +181,10 @@ def find_defects(df: DataFrame, pair_id: str, prompt: str, answer: str) -> DataF
     ends = rows.where("shape IS NOT NULL AND ragged").groupBy("shape").agg(F.count(F.lit(1)).alias("ended"))
     idioms = ends.where("ended >= 3").join(starts, "shape").where("2 * ended >= begun")
     idioms = idioms.select("shape", F.lit(True).alias("idiom"))
-    judged = rows.drop("starts").join(idioms, "shape", "left")
+    # only short ragged answers need the lookup; the others share the null shape and must not meet in a join
+    rows = rows.drop("starts")
+    short, others = F.col("shape").isNotNull() & F.col("ragged"), F.lit(False)
+    judged = rows.where(short).join(idioms, "shape", "left").unionByName(rows.where(~short).withColumn("idiom", others))
     finished = F.coalesce("idiom", F.lit(False)) | ((F.col("words") <= 2) & ~F.col("shape").rlike("[-�]$"))
     defect = (
         F.when(F.col("empty"), "empty")

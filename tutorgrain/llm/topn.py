@@ -66,7 +66,8 @@ def top_n_per_group(df: DataFrame, group: str, item: str, score: str, rank: str,
     coded = first.withColumn("code", F.array(*score_digits(F.col("s")), F.col("m"), *identifier_digits(F.col("i"), digits)))
 
     cuts = _bisect(coded.select("g", "code"), n)
-    kept = coded.join(cuts, "g").where(F.col("code") >= F.col("cut"))
+    # the own exchange of the few rows that are left lets AQE split the join's partition of a hot group
+    kept = coded.join(cuts, "g").where(F.col("code") >= F.col("cut")).drop("cut").repartition("g")
     order = Window.partitionBy("g").orderBy(F.col("code").desc())  # at most n rows a group are left here
     return kept.select(
         F.col("g").alias(group),

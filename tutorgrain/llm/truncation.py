@@ -155,9 +155,10 @@ def detect_truncated(
         ((F.col("longs") < 20) | (F.col("ragged_long") - F.when(F.col("m.n") >= min_pile, F.col("m.ragged")).otherwise(0) < 0.5 * F.col("longs"))).alias("closes"),
     )
     idioms = _idioms(rows, long_words)
-    joined = rows.join(base, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("kind") == F.col("b_kind")), "left").join(
-        idioms, "tail", "left"
-    )
+    # most rows end with a terminator; they share the empty tail and must not meet in a join
+    ragged, ended = rows.where("tail <> ''"), rows.where("tail = ''").withColumn("idiom", F.lit(False))
+    rows = ragged.join(idioms, "tail", "left").unionByName(ended)
+    joined = rows.join(base, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("kind") == F.col("b_kind")), "left")
     at_limit = F.coalesce(F.col("size") == F.col("limit"), F.lit(False))
     terse = F.coalesce(F.col("idiom"), F.lit(False))
     reason = (
