@@ -74,6 +74,11 @@ def gwet_ac2(conf: DataFrame, group: str, disagreement_norm: bool = False) -> Da
 
 def class_scores(conf: DataFrame, group: str) -> DataFrame:
     """(group, label, support, predicted, precision, recall, f1): ``a`` is gold, ``b`` predicted; no cases give 0."""
+    exact = _class_scores(conf, group)
+    return exact.select(group, "label", "support", "predicted", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _class_scores(conf: DataFrame, group: str) -> DataFrame:
     gold = conf.groupBy(group, F.col("a").alias("label")).agg(F.sum("c").alias("support"))
     pred = conf.groupBy(group, F.col("b").alias("label")).agg(F.sum("c").alias("predicted"))
     hit = conf.where("a = b").select(group, F.col("a").alias("label"), F.col("c").alias("tp"))
@@ -81,11 +86,11 @@ def class_scores(conf: DataFrame, group: str) -> DataFrame:
     p = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(0.0)
     r = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
-    return j.select(group, "label", "support", "predicted", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+    return j.select(group, "label", "support", "predicted", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
 
 def macro_f1(conf: DataFrame, group: str) -> DataFrame:
-    return class_scores(conf, group).groupBy(group).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+    return _class_scores(conf, group).groupBy(group).agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
 
 
 def entropy_stats(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -364,4 +364,4 @@ SQL = {
     "localisation_confusion": f"WITH u AS ({_UNITS}), c AS (SELECT tutor, count(*) FILTER (cap IS NOT NULL AND cust % 5 = 0) AS tp, count(*) FILTER (cap IS NOT NULL AND cust % 5 <> 0) AS fp, count(*) FILTER (cap IS NULL AND cust % 5 = 0) AS fn, count(*) FILTER (cap IS NULL AND cust % 5 <> 0) AS tn FROM u GROUP BY tutor) SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tp / nullif(tp + fp, 0) / ((tp + fn) / (tp + fp + fn + tn)), 6) AS enrichment, round(tn / nullif(tn + fp, 0), 6) AS specificity FROM c",
     "did_common_support": f"WITH {_B}, c AS (SELECT cust % 97 AS item, avg(score) FILTER (family = 'local' AND unit % 2 = 0) AS a, avg(score) FILTER (family = 'local' AND unit % 2 = 1) AS b, avg(score) FILTER (family = 'arc' AND unit % 2 = 0) AS e, avg(score) FILTER (family = 'arc' AND unit % 2 = 1) AS f FROM us WHERE score IS NOT NULL GROUP BY ALL) SELECT count(*) AS items, round(avg((a - b) - (e - f)), 6) AS did FROM c WHERE a IS NOT NULL AND b IS NOT NULL AND e IS NOT NULL AND f IS NOT NULL",
 }
-SQL["macro_f1"] = f"SELECT dim, round(avg(f1), 6) AS macro_f1 FROM ({SQL['class_scores']}) GROUP BY dim"
+SQL["macro_f1"] = f"SELECT dim, round(avg(f1), 6) AS macro_f1 FROM ({SQL['class_scores'].replace('round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6)', 'CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END')}) GROUP BY dim"
