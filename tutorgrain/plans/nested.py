@@ -43,3 +43,41 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_assignments": p4_assignments,
 }
+
+
+def _dec(x: str) -> str:
+    """JSON encoded as text as what it encodes."""
+    return f"(CASE WHEN json_type({x}) = 'VARCHAR' AND json_valid({x} ->> '$') AND left(trim({x} ->> '$'), 1) IN ('{{', '[') THEN CAST({x} ->> '$' AS JSON) ELSE {x} END)"
+
+
+def _list(x: str) -> str:
+    """A value as a list: null has no elements, a single value is a list of one."""
+    return f"(CASE WHEN {x} IS NULL OR json_type({x}) = 'NULL' THEN CAST([] AS JSON[]) WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [{x}] END)"
+
+
+_CHILDREN = f"""WITH r AS (SELECT record_id, CAST(record AS JSON) AS j FROM factuality_runs WHERE json_valid(record)),
+m AS (SELECT record_id, {_dec("json_extract(j, '$.id_mapping')")} AS m, {_dec("json_extract(j, '$.segments')")} AS s FROM r),
+l AS (SELECT record_id, {_dec("json_extract(m, '$.ledger_to_packet')")} AS l, {_list('s')} AS s FROM m),
+ledger AS (SELECT record_id, unnest(json_keys(l)) AS k, l FROM l WHERE json_type(l) = 'OBJECT'),
+seg AS (SELECT record_id, i, {_dec('s[i + 1]')} AS g FROM (SELECT record_id, s, unnest(generate_series(0, len(s) - 1)) AS i FROM l WHERE len(s) > 0)),
+raw AS (SELECT record_id, i, g, {_dec("json_extract(g, '$.raw_row')")} AS w, {_dec("json_extract(g, '$.errors')")} AS e FROM seg),
+pair AS (SELECT record_id, i, {_dec("json_extract(w, '$.contract_errors')")} AS c, {_list('e')} AS e FROM raw),
+ce AS (SELECT record_id, i, c[k + 1] AS v, k FROM (SELECT record_id, i, c, unnest(generate_series(0, len(c) - 1)) AS k FROM (SELECT record_id, i, {_list('c')} AS c FROM pair) WHERE len(c) > 0)),
+er AS (SELECT record_id, i, k, {_dec('e[k + 1]')} AS v FROM (SELECT record_id, i, e, unnest(generate_series(0, len(e) - 1)) AS k FROM pair WHERE len(e) > 0)),
+ev0 AS (SELECT record_id, i, k, {_dec("json_extract(v, '$.evidence')")} AS x FROM er),
+ev AS (SELECT record_id, i, k, x[n + 1] AS v, n FROM (SELECT record_id, i, k, x, unnest(generate_series(0, len(x) - 1)) AS n FROM (SELECT record_id, i, k, {_list('x')} AS x FROM ev0) WHERE len(x) > 0))"""
+
+
+def _field(name: str, path: str) -> str:
+    return f"CASE WHEN json_type(v, '$.{path}') <> 'NULL' THEN v ->> '$.{path}' END AS {name}"
+
+
+SQL = {
+    "p3_found": _CHILDREN + """ SELECT record_id, 'ledger_pair' AS child_kind, '' AS parent_key, k AS child_key FROM ledger
+      UNION ALL SELECT record_id, 'segment', '', CAST(i AS VARCHAR) FROM seg UNION ALL SELECT record_id, 'contract_error', CAST(i AS VARCHAR), CAST(k AS VARCHAR) FROM ce
+      UNION ALL SELECT record_id, 'error', CAST(i AS VARCHAR), CAST(k AS VARCHAR) FROM er UNION ALL SELECT record_id, 'evidence', i || '.' || k, CAST(n AS VARCHAR) FROM ev""",
+    "p3_errors": _CHILDREN + " SELECT record_id, CAST(i AS VARCHAR) AS parent_key, CAST(k AS VARCHAR) AS child_key, " + ", ".join(_field(c, c) for c in ("tutor_quote", "what_is_wrong", "correct_version", "severity")) + " FROM er",
+    "p3_evidence": _CHILDREN + " SELECT record_id, i || '.' || k AS parent_key, CAST(n AS VARCHAR) AS child_key, " + ", ".join(_field(c, c) for c in ("exchange_id", "quote")) + " FROM ev",
+    "p3_contract_errors": _CHILDREN + " SELECT record_id, CAST(i AS VARCHAR) AS parent_key, CAST(k AS VARCHAR) AS child_key, v ->> '$' AS error_code FROM ce",
+    "p3_ledger_pairs": _CHILDREN + " SELECT record_id, '' AS parent_key, k AS child_key, l ->> ('$.' || k) AS packet_exchange FROM ledger",
+}
