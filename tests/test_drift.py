@@ -58,13 +58,13 @@ def test_matching_takes_the_best_pairs_overall():
         pairs = [tokens_of(t)[0] for t in tokens]
         from collections import Counter
 
-        from tutorgrain.operators.drift import _slot
+        from tutorgrain.operators.drift import EMPTY_SLOT, SLOTS, _slot
 
-        slots = {}
+        slots = [EMPTY_SLOT] * SLOTS
         for t, _ in pairs:
             s, h = _slot(t)
-            slots[s] = min(h, slots.get(s, h))
-        return {"field": name, "type": kind, "n": len(pairs), "members": len(pairs), "shapes": [{"key": k, "n": n} for k, n in Counter(s for _, s in pairs).items()], "slots": [{"slot": int(s), "least": h} for s, h in slots.items()]}
+            slots[s] = min(h, slots[s])
+        return {"field": name, "type": kind, "n": len(pairs), "members": len(pairs), "shapes": [{"key": k, "n": n} for k, n in Counter(s for _, s in pairs).items()], "slots": slots}
 
     ids, names = [f"KC_{i:03}" for i in range(30)], [f"name {'abc'[i % 3]}" for i in range(30)]
     pairs = match([f("top_kc_id", ids), f("kc_name", names)], [f("main_kc_name", names), f("main_kc_id", ids), f("flag", ["yes", "no"])])

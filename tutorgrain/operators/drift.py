@@ -29,7 +29,8 @@ _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list:
 _ISO = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:?\d\d)?$")
 _NUMBER = re.compile(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?$")
 _YES_NO = {"true": "1", "yes": "1", "y": "1", "false": "0", "no": "0", "n": "0"}
-_PROFILE = "corpus string, file string, field string, written_at timestamp, kind string, key string, n bigint, least bigint"
+_PROFILE = "corpus string, file string, field string, written_at timestamp, kind string, key string, n bigint, sketch array<bigint>"
+EMPTY_SLOT = 2**62
 
 
 def tokens_of(value) -> list[tuple[str, str]]:
@@ -81,58 +82,53 @@ def _shape(text: str) -> str:
     return out[:40]
 
 
-_SLOT_NAMES = [str(k) for k in range(SLOTS)]
-
-
-def _slot(token: str) -> tuple[str, int]:
+def _slot(token: str) -> tuple[int, int]:
     h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace"))
-    return _SLOT_NAMES[h % SLOTS], h // SLOTS
+    return h % SLOTS, h // SLOTS
 
 
 OPEN_FIELDS = 50_000  # fields of files that a task keeps open before it gives them out
 
 
-def _count(found: dict[tuple, list[int]], key: tuple, n: int = 1) -> None:
+def _count(found: dict[tuple, list], key: tuple, n: int = 1) -> None:
     entry = found.get(key)
     if entry is None:
-        found[key] = [n, 0]
+        found[key] = [n, None]
     else:
         entry[0] += n
 
 
-def _profile_value(found: dict[tuple, list[int]], value) -> None:
+def _profile_value(found: dict[tuple, list], value) -> None:
     """Add a field's value to its profile: type, members, shapes and the least hash of each sketch slot."""
     _count(found, ("type", _TYPES[type(value)]))
     tokens = tokens_of(value)
     _count(found, ("members", ""), len(tokens))
+    if ("sketch", "") not in found:
+        found["sketch", ""] = [0, [EMPTY_SLOT] * SLOTS]
+    sketch = found["sketch", ""][1]
     for token, shape in tokens:
         _count(found, ("shape", shape))
         slot, h = _slot(token)
-        entry = found.get(("slot", slot))
-        if entry is None:
-            found["slot", slot] = [1, h]
-        else:
-            entry[0] += 1
-            if h < entry[1]:
-                entry[1] = h
+        if h < sketch[slot]:
+            sketch[slot] = h
 
 
 def profile(df: DataFrame, corpus: str, file: str, written_at: str, payload: str) -> DataFrame:
-    """(corpus, file, field, written_at, kind, key, n, least): merged profile entries of every field of every file.
+    """(corpus, file, field, kind, key, written_at, n, sketches): merged profile entries of every field of every file.
 
     Lines that are null, blank, no JSON or no object are left out, null values do not count; fields in a file are those
     with any other value. ``*`` is the field of a file's own entry, which a file without readable lines has too.
     """
     names = [x.split()[0] for x in _PROFILE.split(", ")]
 
-    types = [pa.string()] * 3 + [pa.timestamp("us", "UTC")] + [pa.string()] * 2 + [pa.int64()] * 2
+    types = [pa.string()] * 3 + [pa.timestamp("us", "UTC")] + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.int64())]
 
-    def flush(parts: dict[tuple, dict[tuple, list[int]]]) -> pa.RecordBatch:
+    def flush(parts: dict[tuple, dict[tuple, list]]) -> pa.RecordBatch:
         cells = [(h[0], h[1], h[2], h[3], *k, *v) for h, found in parts.items() for k, v in found.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[tuple, dict[tuple, list[int]]] = {}
+        parts: dict[tuple, dict[tuple, list]] = {}
         for batch in batches:
             for name, path, at, text in zip(*(c.to_pylist() for c in batch.columns)):
                 _count(parts.setdefault((name, path, "*", at), {}), ("file", ""))
@@ -154,8 +150,13 @@ def profile(df: DataFrame, corpus: str, file: str, written_at: str, payload: str
     lines = lines.where("b IS NOT NULL").repartitionByRange("a", "b", F.xxhash64("d"))
     entries = lines.mapInArrow(scan, _PROFILE)
     return entries.groupBy("corpus", "file", "field", "kind", "key").agg(
-        F.min("written_at").alias("written_at"), F.sum("n").alias("n"), F.min("least").alias("least")
-    )
+        F.min("written_at").alias("written_at"), F.sum("n").alias("n"), F.collect_list("sketch").alias("sketches")
+    )  # as many sketches as tasks that met the file
+
+
+def _merged(sketches: Column) -> Column:
+    empty = F.array_repeat(F.lit(EMPTY_SLOT).cast("bigint"), SLOTS)
+    return F.aggregate(sketches, empty, lambda a, x: F.zip_with(a, x, lambda p, q: F.least(p, q)))
 
 
 def field_profiles(entries: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def field_profiles(entries: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("kind") == "type", F.col("n"))).alias("n"),
         F.sum(F.when(F.col("kind") == "members", F.col("n"))).alias("members"),
         F.array_agg(F.when(F.col("kind") == "shape", F.struct("n", "key"))).alias("shapes"),
-        F.array_agg(F.when(F.col("kind") == "slot", F.struct(F.col("key").cast("int").alias("slot"), "least"))).alias("slots"),
+        F.max(F.when(F.col("kind") == "sketch", _merged(F.col("sketches")))).alias("slots"),
     )
     # shapes of free text are many: the most frequent ones tell enough
     per = per.withColumn("shapes", F.slice(F.sort_array("shapes", False), 1, 24))
@@ -181,9 +182,9 @@ def field_profiles(entries: DataFrame) -> DataFrame:
 
 def similarity(a: dict, b: dict) -> float:
     """0 to 1: do the values of two fields look like one field? Value sketches, shapes, names and list-likeness."""
-    x, y = {s["slot"]: s["least"] for s in a["slots"]}, {s["slot"]: s["least"] for s in b["slots"]}
-    equal = sum(1 for k in x if y.get(k) == x[k])
-    value = min(1.0, 2.0 * equal / max(1, min(len(x), len(y))))
+    equal = sum(1 for x, y in zip(a["slots"], b["slots"]) if x == y != EMPTY_SLOT)
+    filled = [sum(1 for x in f["slots"] if x != EMPTY_SLOT) for f in (a, b)]
+    value = min(1.0, 2.0 * equal / max(1, min(filled)))
     p, q = {s["key"]: s["n"] for s in a["shapes"]}, {s["key"]: s["n"] for s in b["shapes"]}
     p, q = _flags(p), _flags(q)
     pn, qn = sum(p.values()) or 1, sum(q.values()) or 1
