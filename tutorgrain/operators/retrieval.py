@@ -203,11 +203,15 @@ def min_max(value: Column, over) -> Column:
     return F.when(high > low, (value - low) / (high - low)).otherwise(F.when(value.isNotNull(), 0.5))
 
 
-def rerank(pool: DataFrame, key: str, composite: str, cross: str, weight: float = CE_WEIGHT) -> DataFrame:
-    """The pool with ``reranked``: a blend of both min-max scores; a pool of one keeps its composite."""
+def rerank(pool: DataFrame, key: str, composite: str, cross: str, weight: float = CE_WEIGHT, bypass: Column | None = None) -> DataFrame:
+    """The pool with ``reranked``: a blend of both min-max scores; a pool of one keeps its composite.
+
+    Where ``bypass`` holds (in older variants an exact match with a high composite) the composite stays, too.
+    """
     w = Window.partitionBy(key)
     blended = weight * min_max(F.col(cross), w) + round(1 - weight, 12) * min_max(F.col(composite), w)
     alone = F.count(F.lit(1)).over(w) <= 1
+    alone = alone if bypass is None else alone | F.coalesce(bypass, F.lit(False))
     return pool.withColumn("reranked", F.round(F.when(alone, F.coalesce(F.col(composite), F.lit(0.0))).otherwise(blended), 6))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tutorgrain.operators import aggregate as A
 from tutorgrain.operators import checks as C
 from tutorgrain.operators import contracts as V
 from tutorgrain.operators import flatten as N
-from tutorgrain.plans import dialogue, judging, nested
+from tutorgrain.plans import dialogue, judging, nested, scores
 from tutorgrain.session import table
 
 
@@ -113,13 +114,62 @@ def family_summary(spark, d):
     return seg.groupBy("scope").agg(F.count(F.lit(1)).alias("packets"))
 
 
-QUERIES = {f.__name__: f for f in (assignment_accuracy, majority_baseline, nearest_anchors, names_in_documents, unique_locations, criterion_integrity, focus_rates, candidate_diagnostic, definition_conflicts, revelation_rates, row_hashes, focus_grounding, variant_diff, candidate_features, family_summary)}
+def review_queue(spark, d):
+    r = judging.context_resolution(spark, d).where("final = 'MISSING_KC_REVIEW'")
+    w = Window.partitionBy("dialogue").orderBy("idx")
+    return r.select("dialogue", "idx", F.row_number().over(w).alias("queue_no"))
+
+
+def segment_units(spark, d):
+    seg = judging.G.segments(judging._segment_rows(spark, d))
+    ids = seg.select("segment_id", F.explode(F.transform("members", lambda i: F.concat("dialogue", F.lit("::ex_"), F.format_string("%04d", i.cast("bigint"))))).alias("exchange_id"))
+    j = ids.join(judging.multilabel_topk(spark, d), "exchange_id")
+    return j.groupBy("segment_id").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("unit_ids", ","))))), ",").alias("units"))
+
+
+def factuality_contract(spark, d):
+    e = N.child_table(nested._triples(spark, d, True), "error", {c: c for c in ("tutor_quote", "what_is_wrong", "correct_version", "severity")})
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    known = F.coalesce(F.lower("severity").isin("material", "minor"), F.lit(False))
+    errors = V.codes((blank("tutor_quote"), "tutor_quote:empty"), (blank("what_is_wrong"), "what_is_wrong:empty"), (blank("correct_version"), "correct_version:empty"), (~known, "severity:invalid"))
+    return e.select(F.explode_outer(errors).alias("code")).groupBy(F.coalesce("code", F.lit("ok")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rescored(spark, d):
+    u = scores.unit_scores(spark, d).where("p IS NOT NULL")
+    verdict = F.when(F.col("cust") % 6 == 0, "contradicted").when(F.col("cust") % 6 == 1, "minor_issue").otherwise("supported")
+    u = u.withColumn("after", A.trust_cap(F.col("b"), verdict, (F.col("cust") % 3 + 1).cast("int")))
+    mean = lambda c: F.round(F.sum(F.col(c) * F.col("n")) / F.sum("n"), 6)
+    return u.groupBy("tutor").agg(mean("score").alias("before"), mean("after").alias("after"))
+
+
+def scope_contrast(spark, d):
+    rows = scores.dims(spark, d).where("score IS NOT NULL AND applicability <> 'not_applicable'").join(scores.units(spark, d).select("unit", "family"), "unit")
+    own = F.col("dimension").isin(A.ARC_DIMENSIONS["v2"]) == (F.col("family") == "arc")
+    g = rows.groupBy("dimension").agg(F.avg(F.when(own, F.col("score"))).alias("o"), F.avg(F.when(~own, F.col("score"))).alias("x"))
+    return g.select("dimension", F.round("o", 6).alias("own_scope"), F.round("x", 6).alias("other_scope"))
+
+
+def judge_plan(spark, d):
+    seg = judging.segment_scope(spark, d)
+    arc = F.col("scope").isin("branch_context", "broad_kc_set")
+    names = lambda v: F.lit(",".join(v))
+    local = [x for x in A.DIMENSIONS if x not in A.ARC_DIMENSIONS["v1"]]
+    return seg.select("segment_id", F.when(arc, names(A.ARC_DIMENSIONS["v1"])).otherwise(names(local)).alias("dimensions"), F.when(arc, names(V.TRUST_FLAGS[1:2])).otherwise(names([V.TRUST_FLAGS[0], V.TRUST_FLAGS[2]])).alias("flags"))
+
+
+QUERIES = {f.__name__: f for f in (review_queue, segment_units, factuality_contract, rescored, scope_contrast, judge_plan, assignment_accuracy, majority_baseline, nearest_anchors, names_in_documents, unique_locations, criterion_integrity, focus_rates, candidate_diagnostic, definition_conflicts, revelation_rates, row_hashes, focus_grounding, variant_diff, candidate_features, family_summary)}
 
 _GOLD = "gold AS (SELECT split_part(item, '_', 1) AS corpus, item, n // 2 AS idx, min(u) AS unit FROM (SELECT split_part(turn_id, '::', 1) AS item, TRY_CAST(regexp_extract(turn_id, '([0-9]+)$', 1) AS INTEGER) AS n, metadata.expected_kc_id AS u FROM turn_rows) WHERE u IS NOT NULL GROUP BY ALL)"
 _N = r"trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '([a-z])[-_]([a-z])', '\1 \2', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 _HITS = f"t AS (SELECT doc_id, ' ' || {_N.format('text')} || ' ' AS x FROM documents), k AS (SELECT unit_id, ' ' || {_N.format('canonical_name')} || ' ' AS y FROM kc_library), h AS (SELECT DISTINCT doc_id, unit_id FROM t JOIN k ON contains(x, y))"
 _PASS1 = judging.SQL["pass1_labels"]
 SQL = {
+    "factuality_contract": nested._CHILDREN + """, f AS (SELECT v ->> '$.tutor_quote' AS q, CASE WHEN json_type(v, '$.what_is_wrong') <> 'NULL' THEN v ->> '$.what_is_wrong' END AS w, CASE WHEN json_type(v, '$.correct_version') <> 'NULL' THEN v ->> '$.correct_version' END AS c, CASE WHEN json_type(v, '$.severity') <> 'NULL' THEN v ->> '$.severity' END AS s FROM er),
+      e AS (SELECT list_filter([CASE WHEN trim(coalesce(q, '')) = '' THEN 'tutor_quote:empty' END, CASE WHEN trim(coalesce(w, '')) = '' THEN 'what_is_wrong:empty' END, CASE WHEN trim(coalesce(c, '')) = '' THEN 'correct_version:empty' END, CASE WHEN NOT coalesce(lower(s) IN ('material', 'minor'), false) THEN 'severity:invalid' END], lambda x: x IS NOT NULL) AS l FROM f),
+      u AS (SELECT unnest(CASE WHEN len(l) = 0 THEN ['ok'] ELSE l END) AS code FROM e) SELECT code, count(*) AS n FROM u GROUP BY code""",
+    "rescored": f"WITH {scores._B}, x AS (SELECT tutor, n, score, CASE WHEN cust % 6 = 0 THEN least(b, CASE WHEN cust % 3 + 1 >= 2 THEN 0.25 ELSE 0.5 END) WHEN cust % 6 = 1 THEN least(b, 0.9) ELSE b END AS after FROM us WHERE p IS NOT NULL) SELECT tutor, {scores._MEAN.format('score')} AS before, {scores._MEAN.format('after')} AS after FROM x GROUP BY tutor",
+    "scope_contrast": f"WITH dims AS ({scores._DIMS}), units AS ({scores._UNITS}), x AS (SELECT dimension, score, (dimension IN {dialogue._list(A.ARC_DIMENSIONS['v2'])}) = (family = 'arc') AS own FROM dims JOIN units ON units.unit = dims.unit WHERE {scores._USE}) SELECT dimension, round(avg(score) FILTER (own), 6) AS own_scope, round(avg(score) FILTER (NOT own), 6) AS other_scope FROM x GROUP BY dimension",
     "assignment_accuracy": f"WITH {judging._P}, {_GOLD}, top AS (SELECT split_part(exchange_id, '::', 1) AS item, CAST(regexp_extract(exchange_id, '([0-9]+)$', 1) AS INTEGER) AS idx, unit_id FROM pool25 WHERE pool_rank = 1), s AS (SELECT corpus, o AS \"offset\", count(*) AS n, count(*) FILTER (unit = unit_id) AS hits FROM top CROSS JOIN (SELECT unnest([0, 1, 2]) AS o) JOIN gold ON gold.item = top.item AND gold.idx = top.idx + o GROUP BY ALL) SELECT corpus, \"offset\", n, round(hits / n, 6) AS exact FROM s QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY hits / n DESC, \"offset\") = 1",
     "majority_baseline": f"WITH {_GOLD}, c AS (SELECT corpus, unit, count(*) AS c FROM gold GROUP BY ALL) SELECT corpus, unit, CAST(sum(c) OVER (PARTITION BY corpus) AS BIGINT) AS n, round(c / sum(c) OVER (PARTITION BY corpus), 6) AS share FROM c QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY c DESC, unit) = 1",
     "nearest_anchors": f"WITH p AS ({_PASS1}), r AS (SELECT split_part(exchange_id, '::', 1) AS dialogue, CAST(regexp_extract(exchange_id, '([0-9]+)$', 1) AS INTEGER) AS idx, CASE WHEN label IN ('AUTO_HIGH_KC', 'AUTO_MEDIUM_KC') THEN unit_id END AS u FROM p) SELECT dialogue, idx, last_value(u IGNORE NULLS) OVER (PARTITION BY dialogue ORDER BY idx ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS left_anchor, first_value(u IGNORE NULLS) OVER (PARTITION BY dialogue ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS right_anchor FROM r",
