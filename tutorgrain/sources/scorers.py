@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,7 @@ def score_pairs(df: DataFrame, left: str, right: str, load: Callable[[], Callabl
         for a, b in batches:
             yield pd.Series(model(list(zip(a.fillna(""), b.fillna("")))), dtype="float64")
 
-    from pyspark.sql.pandas.functions import PandasUDFType
-
-    return df.withColumn(out, F.pandas_udf(scan, "double", PandasUDFType.SCALAR_ITER)(F.col(left), F.col(right)))
+    return df.withColumn(out, F.pandas_udf(scan, "double")(F.col(left), F.col(right)))
 
 
 def overlap_scorer() -> Callable[[list[tuple[str, str]]], list[float]]:
@@ -46,8 +44,6 @@ def apply_tie_break(pool: DataFrame, probabilities: DataFrame, key: str, least_p
     ``pool``: (key, unit_id, score, pool_rank); ``probabilities``: (key, unit_id, p). Skipped where the pool's own margin is
     larger than ``most_pool_margin``.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key)
     ranked = probabilities.withColumn("k", F.row_number().over(w.orderBy(F.col("p").desc(), "unit_id")))
     pick = ranked.groupBy(key).agg(F.max(F.when(F.col("k") == 1, F.col("unit_id"))).alias("pick"), F.max(F.when(F.col("k") == 1, F.col("p"))).alias("p1"), F.max(F.when(F.col("k") == 2, F.col("p"))).alias("p2"))
