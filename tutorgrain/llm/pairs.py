@@ -74,6 +74,7 @@ for _code, _words in FUNCTION_WORDS.items():
         _BY_WORD.setdefault(_w, []).append(_code)
 
 
+_VOTES = {w: [(code, 1.0 / len(codes)) for code in codes] for w, codes in _BY_WORD.items()}
 # fixed values: letters and marks that only one of the languages uses
 LETTERS = {"¿": "es", "¡": "es", "ñ": "es", "ß": "de", "œ": "fr", "ç": "fr", "ê": "fr", "ã": "pt", "õ": "pt"}
 
@@ -84,11 +85,10 @@ def language(text: str) -> str | None:
     for c, code in LETTERS.items():
         if c in text:
             votes[code] = votes.get(code, 0.0) + 1.5
+    vote = _VOTES.get
     for w in _WORD.findall(text.lower()):
-        codes = _BY_WORD.get(w)
-        if codes:
-            for code in codes:
-                votes[code] = votes.get(code, 0.0) + 1.0 / len(codes)
+        for code, share in vote(w, ()):
+            votes[code] = votes.get(code, 0.0) + share
     if not votes:
         return None
     ranked = sorted(votes.items(), key=lambda x: -x[1])
@@ -117,6 +117,9 @@ def only_copies(prompt: str, answer: str) -> bool:
     p, a = _WORD.findall(prompt.lower()), _WORD.findall(answer.lower())
     if not p or not a:
         return False
+    in_p, in_a = set(p), set(a)
+    if sum(w not in in_p for w in a) > max(3, 0.15 * len(a)) or sum(w in in_a for w in p) < 0.7 * len(p):
+        return False  # even in any order too much is new, or too little of the prompt is there
     kept, rest, blocks = set(), a, 0
     fresh = 0
     while rest and blocks < 8:  # the prompt may be given back more than once
@@ -148,9 +151,11 @@ def scan_pair(prompt: str | None, answer: str | None) -> tuple:
         return (True, False, False, False, False, None, 0, [], 1.0)
     share = added_share(p, a)
     copies = share <= 0.6 and only_copies(p, a)
-    refusal = bool(_REFUSAL.search(a.replace("’", "'")))
-    spoken, asked = language(a), language(p)
-    other = spoken is not None and asked is not None and spoken != asked
+    refusal = not copies and bool(_REFUSAL.search(a.replace("’", "'")))
+    other = False
+    if not copies and not refusal:  # the first defect counts, so later ones need no look
+        spoken = language(a)
+        other = spoken is not None and language(p) not in (None, spoken)
     ragged = is_ragged(a) and not (_RESULT.search(a) and len(a.split()) <= 8)
     words = a.split(None, SHAPE_WORDS)
     count = len(words) if len(words) <= SHAPE_WORDS else SHAPE_WORDS + len(words[-1].split())
