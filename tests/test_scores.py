@@ -68,6 +68,47 @@ def test_resampling_is_the_same_for_any_partitioning(spark):
     assert S.bootstrap_mean(df.limit(5), "g", "row", "v", 20).first().low is None
 
 
+def test_resampling_has_the_replicates_of_the_reference(spark):
+    rows = [("g", i, 1.0) for i in range(12)] + [("h", i, d) for i, d in enumerate((0.5, -0.2, 0.3, 0.3, 0.1, -0.4, 0.2))]
+    df = spark.createDataFrame(rows, "g string, row long, v double")
+    p = {r.g: r for r in S.sign_flip(df, "g", "row", "v", 100_000).collect()}
+    v = [d for g, _, d in rows if g == "h"]
+    sums = [sum(x if k >> i & 1 else -x for i, x in enumerate(v)) for k in range(2 ** len(v))]
+    assert p["g"].p_one == pytest.approx(1 / 2**12, abs=1e-4) and p["g"].p_two == pytest.approx(2 / 2**12, abs=2e-4)
+    assert p["h"].p_one == pytest.approx(sum(s >= sum(v) - 1e-9 for s in sums) / len(sums), abs=0.01)
+    assert p["h"].p_two == pytest.approx(sum(abs(s) >= abs(sum(v)) - 1e-9 for s in sums) / len(sums), abs=0.01)
+
+
+def test_cluster_interval_and_permutation(spark):
+    rows = [("g", k, (k * 37 % 101) / 100) for k in range(400) for _ in range(3)]  # three equal rows a cluster
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    r = S.bootstrap_mean(df, "g", "k", "v", 10_000, share=0.9875).first()
+    m = sum(x for _, _, x in rows) / len(rows)
+    se = math.sqrt(sum((x - m) ** 2 for _, _, x in rows) / len(rows) / 400)  # of 400 clusters, not of 1200 rows
+    assert r.low == pytest.approx(m - 2.4977 * se, abs=0.15 * se) and r.high == pytest.approx(m + 2.4977 * se, abs=0.15 * se)
+    from itertools import combinations
+
+    v, first = [0.1, 0.2, 0.2, 0.5, 0.7, 0.9, 0.9], 3
+    two = spark.createDataFrame([(x, i >= len(v) - first) for i, x in enumerate(v)], "v double, a boolean")
+    gap = lambda pick: abs(sum(v[i] for i in pick) / first - sum(x for i, x in enumerate(v) if i not in pick) / (len(v) - first))
+    gaps = [gap(c) for c in combinations(range(len(v)), first)]
+    got = S.permutation_test(two, "a", "v", 20_000)
+    assert got.first().p == pytest.approx(sum(g >= gap((4, 5, 6)) - 1e-12 for g in gaps) / len(gaps), abs=0.01) and got.first() == S.permutation_test(two.repartition(5), "a", "v", 20_000).first()
+    assert S.permutation_test(two.where("a"), "a", "v", 100).first().p is None
+
+
+@pytest.mark.parametrize(("query", "operator", "least"), [("sign_flip_p", "sign_flip", 100_000), ("bootstrap_ci", "bootstrap_mean", 10_000), ("cluster_bootstrap_ci", "bootstrap_mean", 10_000), ("permutation_p", "permutation_test", 20_000)])
+def test_registered_replicates(monkeypatch, query, operator, least):
+    from tutorgrain.plans import scores
+
+    seen = []
+    monkeypatch.setattr(S, operator, lambda *args, **more: seen.extend(x for x in args if isinstance(x, int)))
+    monkeypatch.setattr(scores, "ratings", lambda *_: type("Rows", (), {"withColumn": lambda self, *_: self})())
+    monkeypatch.setattr(scores, "F", type("Functions", (), {"col": staticmethod(lambda _: "")}))
+    scores.QUERIES[query](None, "")
+    assert seen == [least]
+
+
 def row(idx, label, unit=None, **more):
     pool = [{"unit_id": u, "score": s, "ce": None, "eligible": e, "corroborated": False, "families": 1, "branch": b, "tutor_only": False} for u, s, e, b in more.pop("pool", [])]
     return {"idx": idx, "label": label, "unit_id": unit, "top1": 0.5, "broad": False, "top_share": 0.1, "pool": pool} | more

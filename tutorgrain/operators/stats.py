@@ -1,14 +1,20 @@
 """Agreement, partition, boundary and resampling statistics as aggregations.
 
 Agreement statistics work on confusion counts, so their cost after one map-side-combined aggregation depends on the
-labels, not on the rows. Resampling draws from a counter-based generator (an integer hash of replicate and row), so
-every replicate is one partial aggregate and nothing is sorted or shuffled by row.
+labels, not on the rows. Resampling draws from a counter-based generator for cells of equal values, so its cost depends
+on the distinct values and the replicates, not on the rows; no row is repeated by replicate.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def confusion(df: DataFrame, group: str, a: str, b: str) -> DataFrame:
@@ -212,42 +218,106 @@ def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.least(F.lit(1.0), F.aggregate(tables, F.lit(0.0), lambda s, x: s + F.when(log_p(x) <= seen + 1e-9, F.exp(log_p(x))).otherwise(0.0)))
 
 
-def uniform(seed: int, replicate: Column, row: Column) -> Column:
-    """A number in 0..1 from an integer hash of replicate and row: the same in any order and partitioning."""
-    x = F.pmod(row * 48271 + replicate * 69621 + seed, F.lit(2147483647))
-    for _ in range(3):
-        x = F.pmod(x * 48271 + 11, F.lit(2147483647))
-    return x / 2147483647.0
+BATCHES = 16
+
+
+def _cells(df: DataFrame, group: str, row: str, value: Column) -> DataFrame:
+    """(group, s, n, c): ``c`` keys ``row`` of a group hold ``n`` values with the sum ``s`` each."""
+    per = df.withColumn("x", value.cast("double")).where("x IS NOT NULL").groupBy(group, row).agg(F.round(F.sum("x"), 9).alias("s"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy(group, "s", "n").agg(F.count(F.lit(1)).alias("c"))
+
+
+def _replicates(cells: DataFrame, group: str, replicates: int, seed: int, start: Callable) -> DataFrame:
+    """(group, r, s, n): per replicate the sums of ``s`` and ``n`` over all cells of a group, each times its drawn weight.
+
+    ``start(group, size)`` begins a batch of ``size`` replicates and gives ``draw(generator, count)``: the weights of a cell
+    of ``count`` keys in them. A generator is Philox keyed by seed, group, cell and batch, and a batch takes its cells in
+    order, so results do not depend on partitioning. A task holds the sums of one batch of one group, no rows.
+    """
+    size = -(-replicates // BATCHES)
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, as few bytes are much work here
+    batches = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // size))).alias("b")
+    rows = cells.select(group, "s", "n", "c", batches).repartition(parts, group, "b").sortWithinPartitions(group, "b", "s", "n")
+    schema = T.StructType([rows.schema[group], T.StructField("r", T.LongType()), T.StructField("s", T.DoubleType()), T.StructField("n", T.DoubleType())])
+    names = schema.names
+
+    def scan(stream):
+        key, kind, draw, s_sum, n_sum = None, None, None, None, None
+
+        def sums():
+            r = key[1] * size + 1 + np.arange(len(s_sum), dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(r), kind), pa.array(r), pa.array(s_sum), pa.array(n_sum)], names=names)
+
+        for batch in stream:
+            kind = batch.schema.field(0).type
+            for g, s, n, c, b in zip(*(column.to_pylist() for column in batch.columns)):
+                if key != (g, b):
+                    if key is not None:
+                        yield sums()
+                    many = min(size, replicates - b * size)
+                    key, draw, s_sum, n_sum = (g, b), start(g, many), np.zeros(many), np.zeros(many)
+                digest = hashlib.blake2b(repr((seed, g, s, n, b)).encode(), digest_size=16).digest()
+                w = draw(np.random.Generator(np.random.Philox(key=int.from_bytes(digest, "little"))), c)
+                s_sum += s * w
+                n_sum += n * w
+        if key is not None:
+            yield sums()
+
+    return rows.mapInArrow(scan, schema)
 
 
 def sign_flip(df: DataFrame, group: str, row: str, delta: str, replicates: int, seed: int = 1234) -> DataFrame:
-    """(group, n, observed, p_one, p_two): sign-flip permutation of summed paired differences, add-one p values."""
+    """(group, n, observed, p_one, p_two): sign-flip permutation of summed paired differences, add-one p values.
+
+    Of ``c`` differences of equal size a binomial number keeps its sign. Without differences the p values are null.
+    """
     obs = df.groupBy(group).agg(F.count(delta).alias("n"), F.sum(delta).alias("observed"))
-    rep = df.select(group, row, delta, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r"))
-    flipped = F.when(uniform(seed, F.col("r"), F.col(row)) < 0.5, F.col(delta)).otherwise(-F.col(delta))
-    sums = rep.groupBy(group, "r").agg(F.sum(flipped).alias("t")).join(obs, group)
-    hits = sums.groupBy(group).agg(F.max("n").alias("n"), F.max("observed").alias("observed"), F.count_if(F.col("t") >= F.col("observed") - 1e-9).alias("h1"), F.count_if(F.abs("t") >= F.abs("observed") - 1e-9).alias("h2"))
-    return hits.select(group, "n", F.round("observed", 6).alias("observed"), F.round((F.col("h1") + 1) / (replicates + 1), 6).alias("p_one"), F.round((F.col("h2") + 1) / (replicates + 1), 6).alias("p_two"))
+    cells = _cells(df, group, row, F.col(delta)).groupBy(group, F.abs("s").alias("s"), F.lit(0).alias("n")).agg(F.sum("c").alias("c"))
+    sums = _replicates(cells, group, replicates, seed, lambda g, size: lambda rng, c: 2 * rng.binomial(c, 0.5, size) - c).join(obs, group)
+    hits = sums.groupBy(group).agg(F.count_if(F.col("s") >= F.col("observed") - 1e-9).alias("h1"), F.count_if(F.abs("s") >= F.abs("observed") - 1e-9).alias("h2"))
+    p = [F.round((F.col(h) + 1) / (replicates + 1), 6).alias(out) for h, out in (("h1", "p_one"), ("h2", "p_two"))]
+    return obs.join(hits, group, "left").select(group, "n", F.round("observed", 6).alias("observed"), *p)
 
 
 def bootstrap_mean(df: DataFrame, group: str, row: str, value: str, replicates: int, seed: int = 1234, share: float = 0.95, least: int = 8) -> DataFrame:
-    """(group, n, mean, low, high): percentile interval of the mean by Poisson resampling; null below ``least`` rows."""
-    u = uniform(seed, F.col("r"), F.col(row))
-    times = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    rep = df.where(F.col(value).isNotNull()).select(group, row, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).withColumn("w", times)
-    means = rep.groupBy(group, "r").agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    """(group, n, mean, low, high): percentile interval of the mean by Poisson resampling; null below ``least`` rows.
+
+    Rows of one key ``row`` are drawn together, so a key of several rows makes it a cluster bootstrap.
+    """
+    sums = _replicates(_cells(df, group, row, F.col(value)), group, replicates, seed, lambda g, size: lambda rng, c: rng.poisson(c, size))
+    means = sums.select(group, (F.col("s") / F.nullif(F.col("n"), F.lit(0.0))).alias("m"))
     ranked = means.where("m IS NOT NULL").withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy("m")) - 1).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy(group)))
     tail = (1 - share) / 2
-    ends = ranked.groupBy(group).agg(F.max(F.when(F.col("k") == F.floor(F.col("c") * tail), F.col("m"))).alias("low"), F.max(F.when(F.col("k") == F.floor(F.col("c") * (1 - tail)), F.col("m"))).alias("high"))
+    ends = ranked.groupBy(group).agg(*[F.max(F.when(F.col("k") == F.floor(F.col("c") * at + 1e-9), F.col("m"))).alias(end) for end, at in (("low", tail), ("high", 1 - tail))])
     obs = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
     enough = F.col("n") >= least
     return obs.join(ends, group, "left").select(group, "n", F.round("mean", 6).alias("mean"), F.round(F.when(enough, F.col("low")), 6).alias("low"), F.round(F.when(enough, F.col("high")), 6).alias("high"))
 
 
-def permutation_test(df: DataFrame, row: str, in_first: str, value: str, replicates: int, seed: int = 1234) -> DataFrame:
-    """(n_a, n_b, observed, p): two-sample permutation of the mean difference by reassigning rows with the first group's share."""
-    n = df.agg(F.count_if(in_first).alias("n_a"), F.count_if(~F.col(in_first)).alias("n_b"), (F.avg(F.when(F.col(in_first), F.col(value))) - F.avg(F.when(~F.col(in_first), F.col(value)))).alias("observed"))
-    rep = df.select(row, value, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("r")).crossJoin(F.broadcast(n))  # one row
-    first = uniform(seed, F.col("r"), F.col(row)) < F.col("n_a") / (F.col("n_a") + F.col("n_b"))
-    d = rep.groupBy("r", "n_a", "n_b", "observed").agg((F.avg(F.when(first, F.col(value))) - F.avg(F.when(~first, F.col(value)))).alias("d"))
-    return d.groupBy("n_a", "n_b", F.round("observed", 6).alias("observed")).agg(F.round((F.count_if(F.abs("d") >= F.abs(F.col("observed")) - 1e-12) + 1) / (replicates + 1), 6).alias("p"))
+def permutation_test(df: DataFrame, in_first: str, value: str, replicates: int, seed: int = 1234) -> DataFrame:
+    """(n_a, n_b, observed, p): two-sample permutation of the mean difference, group sizes kept; p is null if a group is empty.
+
+    Equal values are dealt together, a hypergeometric number of them to the first group. Fewer than 10^9 rows.
+    """
+    live = df.where(F.col(in_first).isNotNull() & F.col(value).isNotNull())
+    a, x = F.col(in_first), F.col(value).cast("double")
+    sizes = live.agg(F.count_if(a).alias("n_a"), F.count_if(~a).alias("n_b"), F.sum(x).alias("total"), (F.avg(F.when(a, x)) - F.avg(F.when(~a, x))).alias("observed"))
+    counts = live.groupBy(x.alias("s"), F.lit(1).alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    cells = counts.crossJoin(F.broadcast(sizes)).withColumn("g", F.struct("n_a", "n_b"))  # one row
+
+    def deal(g, size):
+        need, left = np.full(size, g["n_a"], np.int64), [g["n_a"] + g["n_b"]]
+
+        def draw(rng, c):
+            nonlocal need
+            got = rng.hypergeometric(c, left[0] - c, need)
+            need, left[0] = need - got, left[0] - c
+            return got
+
+        return draw
+
+    sums = _replicates(cells, "g", replicates, seed, deal).crossJoin(F.broadcast(sizes))  # one row
+    d = F.col("s") / F.col("n_a") - (F.col("total") - F.col("s")) / F.nullif(F.col("n_b"), F.lit(0))
+    hits = sums.agg(F.count_if(F.abs(d) >= F.abs("observed") - 1e-12).alias("h"))
+    p = F.when(F.col("observed").isNotNull(), F.round((F.col("h") + 1) / (replicates + 1), 6))
+    return sizes.crossJoin(F.broadcast(hits)).select("n_a", "n_b", F.round("observed", 6).alias("observed"), p.alias("p"))  # one row each

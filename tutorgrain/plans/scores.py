@@ -247,19 +247,19 @@ def fisher_p(spark, d):
 
 
 def sign_flip_p(spark, d):
-    return S.sign_flip(ratings(spark, d), "dim", "row", "delta", 100)
+    return S.sign_flip(ratings(spark, d), "dim", "row", "delta", 100_000)
 
 
 def bootstrap_ci(spark, d):
-    return S.bootstrap_mean(ratings(spark, d), "dim", "row", "delta", 100)
+    return S.bootstrap_mean(ratings(spark, d), "dim", "row", "delta", 10_000)
 
 
 def cluster_bootstrap_ci(spark, d):
-    return S.bootstrap_mean(ratings(spark, d), "dim", "cluster", "delta", 100, share=0.9875)
+    return S.bootstrap_mean(ratings(spark, d), "dim", "cluster", "delta", 10_000, share=0.9875)
 
 
 def permutation_p(spark, d):
-    return S.permutation_test(ratings(spark, d).withColumn("first", F.col("dim").startswith("A")), "row", "first", "delta", 100)
+    return S.permutation_test(ratings(spark, d).withColumn("first", F.col("dim").startswith("A")), "first", "delta", 20_000)
 
 
 def known_groups(spark, d):
