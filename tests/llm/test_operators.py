@@ -130,6 +130,22 @@ def test_pairs_nulls_long_and_empty(spark):
     assert pairs.find_defects(df.limit(0), "pair_id", "student.text", "tutor.text").count() == 0
 
 
+def test_cut_answers_stay_cut_when_they_recur(spark):
+    schema = "pair_id long, student struct<text:string>, tutor struct<text:string>"
+    cut = [(k, (Q,), ("Not quite. However, noti",)) for k in range(3)]  # one pair, delivered three times
+    cut += [(10 + k, (f"{Q} Case {k}.",), ("In most runs that is cl",)) for k in range(3)]  # equal cuts of three answers
+    cut += [(20, (Q,), ("Becau",))]
+    whole = [(30 + k, (f"{Q} Turn {k}.",), (a,)) for k, a in enumerate(["That fits your plot exactly"] * 4 + ["You said exactly what counts here.", "Because age counts.", "Because it falls.", "Because it rises."])]
+    df = spark.createDataFrame(cut + whole, schema)
+    got = sorted(tuple(r) for r in pairs.find_defects(df, "pair_id", "student.text", "tutor.text").collect())
+    assert got == [(k, "truncated") for k, *_ in cut]
+
+
+@pytest.mark.parametrize("times", [1, 8, 9, 30, 4000])
+def test_copies_repeated_any_number_of_times(times):
+    assert pairs.only_copies(Q, " ".join([Q] * times)) and not pairs.only_copies(Q, " ".join([Q] * times) + " And now" * 14 * times)
+
+
 def test_dictionary_compression_sees_copies():
     assert pairs.added_share(Q, Q) < 0.2 < 0.6 < pairs.added_share(Q, "Sort the ledger by weight and then mark its heaviest entry twice.")
 

@@ -120,17 +120,24 @@ def only_copies(prompt: str, answer: str) -> bool:
     in_p, in_a = set(p), set(a)
     if sum(w not in in_p for w in a) > max(3, 0.15 * len(a)) or sum(w in in_a for w in p) < 0.7 * len(p):
         return False  # even in any order too much is new, or too little of the prompt is there
-    kept, rest, blocks = set(), a, 0
-    fresh = 0
-    while rest and blocks < 8:  # the prompt may be given back more than once
-        m = SequenceMatcher(None, p, rest, autojunk=False)
+    kept, rest, fresh = set(), a, 0
+    reach = 2 * len(p) + max(3, int(0.15 * len(a)))  # what begins behind more new words than may be is no copy
+    while rest:  # the prompt may be given back more than once
+        same = 0
+        while rest[same : same + len(p)] == p:
+            same += len(p)
+        if same:
+            kept.update(range(len(p)))
+            rest = rest[same:]
+            continue
+        m = SequenceMatcher(None, p, rest[:reach], autojunk=False)
         found = [b for b in m.get_matching_blocks() if b.size]
-        if sum(b.size for b in found) < 0.5 * min(len(p), len(rest)):
+        if not found or sum(b.size for b in found) < 0.5 * min(len(p), len(rest)):
             break
         kept.update(i for b in found for i in range(b.a, b.a + b.size))
         end = found[-1].b + found[-1].size
         fresh += end - sum(b.size for b in found)
-        rest, blocks = rest[end:], blocks + 1
+        rest = rest[end:]
     fresh += len(rest)
     return len(kept) >= 0.7 * len(p) and fresh <= max(3, 0.15 * len(a))
 
@@ -170,8 +177,11 @@ def find_defects(df: DataFrame, pair_id: str, prompt: str, answer: str) -> DataF
 
     ``prompt`` and ``answer`` may be nested paths. A null answer (or null parent struct) is empty; a null prompt can
     neither be copied nor differ in language. A pair has one defect, the first in the order above. Short answers
-    without a terminator count as finished if they state a result or if at least half of all answers that begin with
-    their words end there (three answers at least). Repeated pairs count by themselves; an empty table gives no rows.
+    without a terminator count as finished if they state a result or are idioms: they end there after three different
+    prompts at least, no more answers go on than end there, within the last word or behind it, and that word stands
+    whole in other answers or the prompts are many (twenty and a thousandth of all pairs). One or two words count as
+    finished unless three answers and more than end there go on. Equal pairs count once as evidence, whatever their
+    ids; repeated pairs are judged each by itself; an empty table gives no rows.
     """
 
     @F.pandas_udf(SCAN)
@@ -179,18 +189,13 @@ def find_defects(df: DataFrame, pair_id: str, prompt: str, answer: str) -> DataF
         names = [x.split()[0] for x in SCAN.split(", ")]
         return pd.DataFrame([scan_pair(p, a) for p, a in zip(prompts, answers)], columns=names)
 
-    rows = df.select(F.col(pair_id).alias("id"), scan(F.col(prompt), F.col(answer)).alias("x")).select("id", "x.*")
+    keys = F.xxhash64(F.col(prompt)).alias("asked"), F.xxhash64(F.col(prompt), F.lit(" "), F.col(answer)).alias("pair")
+    rows = df.select(F.col(pair_id).alias("id"), *keys, scan(F.col(prompt), F.col(answer)).alias("x")).select("id", "asked", "pair", "x.*")
     rows = materialize(rows, "pair-scan")
-    # terminal context: of the answers that begin with these words, how many end there; counts combine map-side
-    starts = rows.select(F.explode("starts").alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("begun"))
-    ends = rows.where("shape IS NOT NULL AND ragged").groupBy("shape").agg(F.count(F.lit(1)).alias("ended"))
-    idioms = ends.where("ended >= 3").join(starts, "shape").where("2 * ended >= begun")
-    idioms = idioms.select("shape", F.lit(True).alias("idiom"))
     # only short ragged answers need the lookup; the others share the null shape and must not meet in a join
-    rows = rows.drop("starts")
     short, others = F.col("shape").isNotNull() & F.col("ragged"), F.lit(False)
-    judged = rows.where(short).join(idioms, "shape", "left").unionByName(rows.where(~short).withColumn("idiom", others))
-    finished = F.coalesce("idiom", F.lit(False)) | ((F.col("words") <= 2) & ~F.col("shape").rlike("[-�]$"))
+    judged = rows.where(short).join(_endings(df, rows, answer), "shape", "left").unionByName(rows.where(~short).withColumns({"idiom": others, "goes_on": others}).drop("starts"), allowMissingColumns=True)
+    finished = F.coalesce("idiom", F.lit(False)) | ((F.col("words") <= 2) & ~F.col("shape").rlike("[-�]$") & ~F.coalesce("goes_on", F.lit(False)))
     defect = (
         F.when(F.col("empty"), "empty")
         .when(F.col("copies"), "copies_question")
@@ -199,3 +204,24 @@ def find_defects(df: DataFrame, pair_id: str, prompt: str, answer: str) -> DataF
         .when(F.col("ragged") & ~F.coalesce(finished, F.lit(False)), "truncated")
     )
     return judged.select(F.col("id").alias(pair_id), defect.alias("defect_type")).where("defect_type IS NOT NULL")
+
+
+def _endings(df: DataFrame, rows: DataFrame, answer: str) -> DataFrame:
+    """(shape, idiom, goes_on): terminal context of every short ragged ending, from distinct pairs; counts combine map-side."""
+    pairs = rows.where(~F.col("empty")).groupBy("pair").agg(*[F.first(c).alias(c) for c in ("asked", "starts", "shape", "ragged")])
+    head, last = F.regexp_extract("shape", r"^(.*?)\S*$", 1), F.regexp_extract("shape", r"(\S*)$", 1)
+    starts = pairs.select(F.explode("starts").alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("n")).select(head.alias("head"), last.alias("word"), "n")
+    ends = pairs.where("shape IS NOT NULL AND ragged").groupBy("shape").agg(F.count(F.lit(1)).alias("ended"), F.countDistinct("asked").alias("prompts")).withColumns({"head": head, "cut": last})
+    # the same words, or a longer last word: what an answer that is cut inside a word shares with whole ones
+    inside = F.substr("word", F.length("cut") + 1, F.lit(1)).rlike(r"^[\p{L}\p{N}]")
+    begun = ends.join(starts, "head").where((F.col("word") == F.col("cut")) | (F.startswith("word", F.col("cut")) & inside)).groupBy("shape").agg(F.sum("n").alias("begun"))
+    found = ends.join(begun, "shape").crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("pairs"))))  # one row
+    found = found.withColumn("w", F.regexp_extract("shape", r"([\p{L}\p{N}#]+)[^\p{L}\p{N}#]*$", 1)).withColumn("stays", 2 * F.col("ended") >= F.col("begun"))
+    # words that another character follows are whole
+    words = F.split(F.lower(F.col(answer)), r"[^\p{L}\p{N}]+")
+    whole = df.select(F.explode(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))).alias("w")).distinct()
+    asked = found.where("stays AND prompts >= 3").select("w").distinct()
+    known = whole.join(asked, "w", "left_semi").withColumn("known", F.lit(True))
+    many = (F.col("prompts") >= 20) & (1000 * F.col("prompts") >= F.col("pairs"))
+    sure = F.coalesce("known", F.lit(False)) | (F.col("w") == "#") | many
+    return found.join(known, "w", "left").select("shape", (F.col("stays") & (F.col("prompts") >= 3) & sure).alias("idiom"), (~F.col("stays") & (F.col("begun") - F.col("ended") >= 3)).alias("goes_on"))
