@@ -181,6 +181,22 @@ def test_missing_fields_end_the_check(spark):
     assert all(e.startswith("missing_required_field") for e in got[0]) and len(got[0]) == 14 and got[1] == ["unparseable"]
 
 
+def test_macro_scores_of_wrapped_and_repairable_responses(spark, tmp_path):
+    from tutorgrain.plans import judging
+
+    dims = A.MACRO_DIMENSIONS
+    full = {"dialogue_id": "d", "dimension_scores": {m: 0.5 for m in dims}, "dimension_applicability": {m: "applicable" for m in dims}}
+    text = json.dumps(full)
+    loose = json.dumps(full | {"dialogue_id": "", "scale": 1, "dimension_scores": {m: " 1.0 " if m == dims[0] else "null" for m in dims}})
+    rows = [(1, text), (2, f"```json\n{text}\n```"), (3, f"<think>{{x}}</think> My rating: {text} That is all."), (4, loose), (5, "no object"), (6, None), (7, text[:-9])]
+    spark.createDataFrame([(i, "p", "d", t) for i, t in rows], "row_id long, judge_prompt_id string, dialogue_id string, raw_response_text string").write.parquet(f"{tmp_path}/raw_rows.parquet")
+    got = {r.row_id: r.macro for r in judging.macro_means_extracted(spark, str(tmp_path)).collect()}
+    assert got == {1: 0.5, 2: 0.5, 3: 0.5, 4: 1.0}
+    scores = judging.macro_scores_extracted(spark, str(tmp_path)).where("row_id = 4").collect()
+    assert {r.dimension: r.score for r in scores} == {m: 1.0 if m == dims[0] else None for m in dims}
+    assert json.loads(V.macro_payload(loose, "d"))["dialogue_id"] == "d" and "scale" not in V.macro_payload(loose, "d")
+
+
 def test_json_extraction_and_overlap():
     assert V.first_object("<think>{1}</think> so {bad} then {\"a\": {\"b\": 1}} end") == '{"a": {"b": 1}}'
     assert V.first_object(None) is None and V.first_object("none") is None

@@ -91,7 +91,7 @@ def focus_grounding(spark, d):
     texts = dialogue.runs(spark, d).select("exchange_id", F.concat_ws("\n", "student_text", "tutor_text").alias("span"))
     spans = focus.join(texts, "exchange_id").select("d", "span")
     ptr = V.get(F.col("v"), "$.evidence_pointers", "array<struct<dimension:string,exchange_id:string,quote:string>>")
-    r = judging._responses(spark, d).select("row_id", "dialogue_id", F.transform(ptr, lambda p: p.quote).alias("quotes"))
+    r = judging._extracted(spark, d).select("row_id", "dialogue_id", F.transform(ptr, lambda p: p.quote).alias("quotes"))
     j = r.join(spans, r["dialogue_id"] == spans["d"])
     hit = F.exists("quotes", lambda q: F.contains(V.normal_quote(F.col("span")), V.normal_quote(q)))
     return j.select("row_id", F.coalesce(hit, F.lit(False)).alias("grounded"))

@@ -129,6 +129,12 @@ def _responses(spark, d) -> DataFrame:
     return table(spark, d, "raw_rows").select("row_id", "judge_prompt_id", "dialogue_id", F.try_parse_json(whole).alias("v"))
 
 
+def _extracted(spark, d) -> DataFrame:
+    """Like _responses(), but objects in a code fence or between words count, and payloads are repaired."""
+    text = V.extract_macro_payload(F.col("raw_response_text"), F.col("dialogue_id"))
+    return table(spark, d, "raw_rows").select("row_id", "judge_prompt_id", "dialogue_id", F.try_parse_json(text).alias("v"))
+
+
 def contract_validate_json(spark, d):
     r = _responses(spark, d)
     v = F.when(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), F.col("v"))
@@ -148,18 +154,41 @@ def extracted_payloads(spark, d):
 
 
 def macro_scores_long(spark, d):
-    v = _responses(spark, d).where("v IS NOT NULL")
+    return _macro_scores(_responses(spark, d))
+
+
+def macro_scores_extracted(spark, d):
+    return _macro_scores(_extracted(spark, d))
+
+
+def _macro_scores(responses: DataFrame) -> DataFrame:
+    v = responses.where("v IS NOT NULL")
     cells = F.array(*[F.struct(F.lit(m).alias("dimension"), V.get(F.col("v"), f"$.dimension_scores.{m}", "double").alias("score"), V.get(F.col("v"), f"$.dimension_applicability.{m}", "string").alias("applicability")) for m in A.MACRO_DIMENSIONS])
     return v.select("row_id", F.explode(cells).alias("x")).select("row_id", "x.*")
 
 
 def macro_means(spark, d):
-    use = macro_scores_long(spark, d).where("score IS NOT NULL AND applicability = 'applicable'")
+    return _macro_means(macro_scores_long(spark, d))
+
+
+def macro_means_extracted(spark, d):
+    return _macro_means(macro_scores_extracted(spark, d))
+
+
+def _macro_means(scores: DataFrame) -> DataFrame:
+    use = scores.where("score IS NOT NULL AND applicability = 'applicable'")
     return use.groupBy("row_id").agg(F.round(F.avg("score"), 6).alias("macro"))
 
 
 def quote_verbatim(spark, d):
-    v = _responses(spark, d)
+    return _quotes_found(spark, d, _responses(spark, d))
+
+
+def quote_verbatim_extracted(spark, d):
+    return _quotes_found(spark, d, _extracted(spark, d))
+
+
+def _quotes_found(spark, d, v: DataFrame) -> DataFrame:
     p = v.select("row_id", "dialogue_id", F.posexplode(V.get(F.col("v"), "$.evidence_pointers", "array<struct<dimension:string,exchange_id:string,quote:string>>")).alias("pos", "p"))
     texts = dialogue.turns(spark, d).groupBy("d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "body"))), lambda x: x.body), "\n").alias("all_text"))
     j = p.join(texts, p["dialogue_id"] == texts["d"], "left")
@@ -181,7 +210,7 @@ def lcs_overlap(spark, d):
     return p.select("pair_id", V.overlap_length(F.col("student.text"), F.col("tutor.text")).alias("overlap"))
 
 
-QUERIES = {f.__name__: f for f in (pass1_labels, multilabel_topk, abstention, context_resolution, segments_fold, assignment_scopes, segment_scope, segment_boundaries, topic_rollup, exchange_audit, packet_nest, packet_audit, macro_packet, judge_prompts, contract_validate_json, validation_report, extracted_payloads, macro_scores_long, macro_means, quote_verbatim, factuality_verdicts, lcs_overlap)}
+QUERIES = {f.__name__: f for f in (pass1_labels, multilabel_topk, abstention, context_resolution, segments_fold, assignment_scopes, segment_scope, segment_boundaries, topic_rollup, exchange_audit, packet_nest, packet_audit, macro_packet, judge_prompts, contract_validate_json, validation_report, extracted_payloads, macro_scores_long, macro_scores_extracted, macro_means, macro_means_extracted, quote_verbatim, quote_verbatim_extracted, factuality_verdicts, lcs_overlap)}
 
 _P = search._POOL + """, pool25 AS (SELECT exchange_id, unit_id, reranked AS score, coalesce(eligible_for_dominant, false) AS eligible, coalesce(source_family_count, 0) >= 3 AS corroborated,
   coalesce(branch <> 'lexical', false) AS nonlexical, coalesce(source_family_count, 0) AS families, coalesce(candidate_state = 'reranked', false) AS is_candidate, local_best_score, pool_rank, branch FROM fp WHERE pool_rank <= 25)"""
