@@ -197,6 +197,18 @@ def test_macro_scores_of_wrapped_and_repairable_responses(spark, tmp_path):
     assert json.loads(V.macro_payload(loose, "d"))["dialogue_id"] == "d" and "scale" not in V.macro_payload(loose, "d")
 
 
+def test_packets_get_all_criteria_and_three_references(spark):
+    from tutorgrain.operators import packets as P
+
+    packets = spark.createDataFrame([("s", "F", list("ABCDEF")), ("t", None, ["A", None]), ("u", None, None)], "segment_id string, lead string, units array<string>")
+    criteria = spark.createDataFrame([(k, n, f"{k}{n}") for k in "BDEF" for n in (1, 2)] + [("A", 1, "A1")], "kc_id string, criterion_no int, criterion_id string")
+    got = sorted((r.segment_id, r.unit_no, r.criterion_no, r.criterion_id) for r in P.criteria_for_packets(packets, criteria, primary="lead").collect())
+    assert [x[3] for x in got] == ["F1", "F2", "A1", "B1", "B2", "D1", "D2", "E1", "E2", "A1"] and got[-1][0] == "t"
+    references = spark.createDataFrame([("A", " "), ("B", None), ("C", "c"), ("D", "d"), ("E", "e"), ("F", "f")], "kc_id string, reference string")
+    refs = sorted((r.segment_id, r.reference_no, r.kc_id) for r in P.references_for_packets(packets, references).collect())
+    assert refs == [("s", 1, "C"), ("s", 2, "D"), ("s", 3, "E")]
+
+
 def test_json_extraction_and_overlap():
     assert V.first_object("<think>{1}</think> so {bad} then {\"a\": {\"b\": 1}} end") == '{"a": {"b": 1}}'
     assert V.first_object(None) is None and V.first_object("none") is None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOCAL_DIMENSIONS, ARC_DIMENSIONS = 8, 2
@@ -61,7 +61,24 @@ def prompt_rows(packets: DataFrame, instruction: str, library: DataFrame, condit
     return out.select("segment_id", "prompt", F.sha2("prompt", 256).alias("prompt_hash"), F.coalesce(F.contains("prompt", F.col("dominant")), F.lit(False)).alias("leaks_unit"))
 
 
-def criteria_for_packets(packets: DataFrame, criteria: DataFrame, units: str = "units", cap: int = 3) -> DataFrame:
-    """(segment_id, rank, criterion_id): criteria of a packet's first ``cap`` units, in unit and criterion order."""
-    rows = packets.select("segment_id", F.posexplode(F.slice(F.array_distinct(units), 1, cap)).alias("u", "kc_id"))
+def criteria_for_packets(packets: DataFrame, criteria: DataFrame, units: str = "units", primary: str | None = None) -> DataFrame:
+    """(segment_id, unit_no, criterion_no, criterion_id): criteria of a packet's primary unit and of all its other units."""
+    every = F.coalesce(units, F.array().cast("array<string>"))
+    if primary:
+        every = F.concat(F.array(primary), every)
+    rows = packets.select("segment_id", F.posexplode(F.array_distinct(F.array_compact(every))).alias("u", "kc_id"))
     return rows.join(criteria, "kc_id").select("segment_id", F.col("u").alias("unit_no"), "criterion_no", "criterion_id")
+
+
+def references_for_packets(packets: DataFrame, references: DataFrame, units: str = "units", primary: str | None = None, cap: int = 3) -> DataFrame:
+    """(segment_id, reference_no, kc_id, reference): the first ``cap`` of a packet's units that have a reference.
+
+    ``references``: (kc_id, reference), one row a unit; null and blank ones are none.
+    """
+    every = F.coalesce(units, F.array().cast("array<string>"))
+    if primary:
+        every = F.concat(F.array(primary), every)
+    rows = packets.select("segment_id", F.posexplode(F.array_distinct(F.array_compact(every))).alias("u", "kc_id"))
+    live = rows.join(references.where(F.trim("reference") != ""), "kc_id")
+    no = F.row_number().over(Window.partitionBy("segment_id").orderBy("u"))
+    return live.select("segment_id", no.alias("reference_no"), "kc_id", "reference").where(F.col("reference_no") <= cap)
