@@ -101,6 +101,20 @@ def test_field_limits_and_rates(spark):
     assert truncation.detect_truncated(df.limit(0), "id", "t", "src").count() == 0
 
 
+def test_a_longer_value_does_not_hide_a_limit(spark):
+    def row(k, size, end=""):
+        words = " ".join(f"w{(k * 31 + i * 7) % 97}" for i in range(200))
+        return json.dumps({"rationale_short": (f"Point {k} is made. " + words)[: size - len(end)] + end})
+
+    limited = [(k, ("The slope of case %02d falls when age goes out. " % k) * 8) for k in range(12)]
+    cut = [(k, json.dumps({"rationale_short": (t[: 200 - len(e)] + e)})) for k, t in limited for e in (" and then it " + "abcdefghijkl"[k],)]
+    whole = [(100 + k, row(k, 60 + 3 * k, ".")) for k in range(40)]
+    longer = [(999, row(5, 320, "."))]
+    df = spark.createDataFrame(cut + whole + longer, "id long, t string").selectExpr("*", "'s' AS src")
+    got = {r.id for r in truncation.detect_truncated(df, "id", "t", "src").collect() if r.is_cut}
+    assert got == {k for k, _ in cut}
+
+
 # ---- pairs --------------------------------------------------------------------------------------------------------
 
 Q = "Why does the slope change when I drop the age column of the table?"

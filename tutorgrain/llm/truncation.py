@@ -14,7 +14,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgrain.storage import materialize
@@ -137,6 +137,7 @@ def detect_truncated(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~F.col("terminated")).alias("ragged"),
         F.count_if(~F.col("terminated") & (F.col("tail_words") >= long_words)).alias("ragged_long"),
+        F.count_distinct(F.when(~F.col("terminated") & ((F.col("closers") >= 1) | (F.col("tail_words") >= long_words)), F.col("tail"))).alias("ragged_tails"),
         F.count_if((F.col("closers") >= 1) | (F.col("tail_words") >= long_words)).alias("longs"),
         F.sum("closers").alias("closers"),
     )
@@ -154,19 +155,22 @@ def detect_truncated(
         # a source proves that it does without terminators by twenty long texts, most of them without
         ((F.col("longs") < 20) | (F.col("ragged_long") - F.when(F.col("m.n") >= min_pile, F.col("m.ragged")).otherwise(0) < 0.5 * F.col("longs"))).alias("closes"),
     )
+    piles = _piles(lengths, top, min_pile)
     idioms = _idioms(rows, long_words)
     # most rows end with a terminator; they share the empty tail and must not meet in a join
     ragged, ended = rows.where("tail <> ''"), rows.where("tail = ''").withColumn("idiom", F.lit(False))
     rows = ragged.join(idioms, "tail", "left").unionByName(ended)
     joined = rows.join(base, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("kind") == F.col("b_kind")), "left")
-    at_limit = F.coalesce(F.col("size") == F.col("limit"), F.lit(False))
+    joined = joined.join(piles, F.col("src").eqNullSafe(F.col("p_src")) & (F.col("kind") == F.col("p_kind")) & (F.col("size") == F.col("p_size")), "left")
+    at_limit = F.coalesce((F.col("size") == F.col("limit")) | F.col("p_size").isNotNull(), F.lit(False))
+    likely = F.coalesce("p_likely", "likely")
     terse = F.coalesce(F.col("idiom"), F.lit(False))
     reason = (
         F.when(F.col("kind") == "blank", None)
         .when(F.col("broken"), "broken_character")
         .when(F.col("open"), "open_structure")
         .when(at_limit & ~F.col("terminated"), "field_limit")
-        .when(at_limit & F.col("likely"), "field_limit")
+        .when(at_limit & likely, "field_limit")
         .when(F.col("terminated") | terse, None)
         .when((F.col("kind") == "prose") & F.coalesce("closes", F.lit(True)), "missing_terminator")
         .when((F.col("tail_words") >= long_words) & F.coalesce("closes", F.lit(True)), "missing_terminator")
@@ -177,6 +181,23 @@ def detect_truncated(
     )
 
 
+def _piles(lengths: DataFrame, top: DataFrame, min_pile: int, near: int = 8) -> DataFrame:
+    """(p_src, p_kind, p_size, p_likely): lengths below the longest at which a source's texts pile up unterminated.
+
+    They are limits that single values exceed, as from before a limit was lowered. A pile has ``min_pile`` different
+    unterminated ends, other than short answers, and five times the rows and such ends of the lengths around it.
+    """
+    around = Window.partitionBy("src", "kind").orderBy("size").rangeBetween(-near, near)
+    mean = lambda c: (F.sum(c).over(around) - F.col(c)) / (2 * near)
+    at = lengths.withColumns({"n_near": mean("n"), "tails_near": mean("ragged_tails")})
+    at = at.where((F.col("ragged_tails") >= min_pile) & (F.col("n") >= 5 * F.col("n_near")) & (F.col("ragged_tails") >= 5 * F.col("tails_near")))
+    t = top.select(F.col("src").alias("t_src"), F.col("kind").alias("t_kind"), "rows_", "distinct_sizes", "chars_per_closer", "m")
+    j = at.join(t, F.col("src").eqNullSafe(F.col("t_src")) & (F.col("kind") == F.col("t_kind")))
+    j = j.where((F.col("size") < F.col("m.size")) & (F.col("n") >= 5 * F.col("rows_") / F.col("distinct_sizes")))
+    likely = F.col("ragged") / F.col("chars_per_closer") > (F.col("rows_") - F.col("n")) / F.col("size")
+    return j.select(F.col("src").alias("p_src"), F.col("kind").alias("p_kind"), F.col("size").alias("p_size"), likely.alias("p_likely"))
+
+
 def _idioms(rows: DataFrame, long_words: int) -> DataFrame:
     """(tail, idiom): the fixed short answers, and those that recur as whole closed fields of at most four words.
 
