@@ -53,23 +53,13 @@ def test_same_values_by_meaning():
     assert tokens_of(["A_1", "B_2"]) == tokens_of("A_1;B_2")
 
 
-def test_matching_takes_the_best_pairs_overall():
-    def f(name, tokens, kind="string"):
-        pairs = [tokens_of(t)[0] for t in tokens]
-        from collections import Counter
-
-        from tutorgrain.operators.drift import EMPTY_SLOT, SLOTS, _slot
-
-        slots = [EMPTY_SLOT] * SLOTS
-        for t, _ in pairs:
-            s, h = _slot(t)
-            slots[s] = min(h, slots[s])
-        return {"field": name, "type": kind, "n": len(pairs), "members": len(pairs), "shapes": [{"key": k, "n": n} for k, n in Counter(s for _, s in pairs).items()], "slots": slots}
-
+def test_matching_takes_the_best_pairs_overall(spark):
+    assert sorted(match([("a", "x", 0.9), ("a", "y", 0.8), ("b", "x", 0.8), ("b", "y", 0.55), ("c", "x", 0.4)])) == [("a", "y"), ("b", "x")]
+    assert match([]) == [] and match([("a", "x", 0.4)]) == []
     ids, names = [f"KC_{i:03}" for i in range(30)], [f"name {'abc'[i % 3]}" for i in range(30)]
-    pairs = match([f("top_kc_id", ids), f("kc_name", names)], [f("main_kc_name", names), f("main_kc_id", ids), f("flag", ["yes", "no"])])
-    assert sorted(pairs) == [("kc_name", "main_kc_name"), ("top_kc_id", "main_kc_id")]
-    assert match([], [f("a", ids)]) == [] and match([f("a", ids)], []) == []
+    a = [{"top_kc_id": i, "kc_name": n} for i, n in zip(ids, names)]
+    b = [{"main_kc_name": n, "main_kc_id": i, "flag": k % 2 == 0} for k, (i, n) in enumerate(zip(ids, names))]
+    assert found(lines(spark, ("a", a), ("b", b))) == [("b", "added", "", "flag"), ("b", "renamed", "kc_name", "main_kc_name"), ("b", "renamed", "top_kc_id", "main_kc_id")]
 
 
 def test_unified_table(spark):
@@ -82,4 +72,49 @@ def test_unified_table(spark):
     rows = {r.line_id: r for r in out.collect()}
     name = "primary_kc_id"
     assert len(rows) == 61 and rows[0][name] == "KC_A_000" and rows[20][name] == "KC_A_005" and rows[60][name] is None
-    assert rows[0].done == "true" and rows[20].done == "false" and rows[45].done == "false" and rows[0]["at"] == rows[20]["at"] == "2026-02-25T18:09:04Z"
+    assert rows[0].done is True and rows[20].done is False and rows[45].done is False
+    assert rows[0]["at"] == rows[20]["at"] == datetime.datetime(2026, 2, 25, 18, 9, 4)
+
+
+def test_unified_values_stay_as_they_are(spark):
+    """One value of another kind keeps a column text; nothing is dropped or rewritten in it."""
+    text = ["", "007", "N", "1500000000", "x y"]
+    a = [{"t": v, "l": ["a;b", "c"], "e": 1500000000 + i, "ms": 1700000000123, "Case": 1, "case": 2} for i, v in enumerate(text)]
+    a[0]["ms"] = "2026-02-25T18:09:04.5Z"
+    b = [{"t": 7, "l": "A_1;B_2"}, {"t": ["p", 1], "l": "free; text"}, {"t": {"k": True}}, {"t": False}]
+    out = unify(lines(spark, ("a", a), ("b", b)), "line_id", "corpus", "file_name", "line_no", "written_at", "payload")
+    rows = [r for r in out.orderBy("line_id").collect()]
+    assert [r.t for r in rows] == [*text, "7", '["p", 1]', '{"k": true}', "false"]
+    assert [r.l for r in rows[4:7]] == ['["a;b", "c"]', '["A_1", "B_2"]', '["free; text"]']
+    assert dict(out.dtypes)["e"] == "bigint" and rows[0].e == 1500000000
+    assert rows[1].ms == datetime.datetime(2023, 11, 14, 22, 13, 20, 123000) and rows[0].ms.microsecond == 500000
+    assert {c for c in out.columns if c.lower().startswith("case")} == {"Case", "case_field"}
+
+
+def test_both_names_of_a_renamed_field_in_one_line(spark):
+    a = [{"resolved_kc_id": f"KC_A_{i:03}"} for i in range(20)]
+    b = [{"primary_kc_id": f"KC_A_{i + 5:03}"} for i in range(20)]
+    c = [{"primary_kc_id": "KC_A_001", "resolved_kc_id": "KC_A_002"}]
+    out = unify(lines(spark, ("a", a), ("b", b), ("c", c)), "line_id", "corpus", "file_name", "line_no", "written_at", "payload")
+    last = out.where("line_id = 40").first()
+    assert last.primary_kc_id == "KC_A_001" and last._also == {"resolved_kc_id": '"KC_A_002"'}
+
+
+def test_very_deep_lines_keep_their_fields(spark):
+    deep = '{"x": 1, "y": %s, "z": "t"}' % ("[" * 50_000 + "]" * 50_000)
+    df = lines(spark, ("a", [{"x": 1}]), ("b", [deep]))
+    assert found(df) == [("b", "added", "", "y"), ("b", "added", "", "z")]
+    row = unify(df, "line_id", "corpus", "file_name", "line_no", "written_at", "payload").where("line_id = 1").first()
+    assert row.x == 1 and row.z == "t" and row.y == "[" * 50_000 + "]" * 50_000
+
+
+def test_rank_of_groups(spark):
+    from pyspark.sql import functions as F
+
+    from tutorgrain.operators.ranks import distributed_rank
+
+    df = spark.range(1000).select(F.when(F.col("id") % 3 > 0, "hot").alias("g"), (-F.col("id")).alias("v"))
+    got = distributed_rank(df, ["g"], ["v"], "k").collect()
+    for g in ("hot", None):
+        mine = sorted((r.v, r.k) for r in got if r.g == g)
+        assert [k for _, k in mine] == list(range(1, len(mine) + 1))

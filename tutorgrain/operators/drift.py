@@ -1,10 +1,10 @@
 """Schemas that drift between files: one list of changes and one consistent table.
 
 Every file's top-level fields are profiled in one pass: JSON types, a one-permutation min-hash sketch of the normalised
-values, and the shapes of the values. Sketches, shapes and counts all merge by min and sum, so a file of any size is
-combined map-side and no value set is gathered. Consecutive files of a corpus are compared field by field; where fields
-go and others come, a maximum-weight bipartite matching over value, shape and name similarity tells renames from
-removals and additions. Rename links then join the names of one field over all files.
+values, the shapes of the values and their forms. Sketches merge by min and counts by sum, in the tasks and then in
+partial aggregates, so no value set and no list of sketches is gathered. Consecutive files of a corpus are compared
+field by field; where fields go and others come, a maximum-weight bipartite matching over value, shape and name
+similarity tells renames from removals and additions. Rename links then join the names of one field over all files.
 """
 
 from __future__ import annotations
@@ -13,26 +13,106 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tutorgrain.operators.flatten import events
+from tutorgrain.operators.ranks import distributed_rank
 from tutorgrain.storage import materialize
 
 SLOTS = 64
 THRESHOLD = 0.5
-_TYPES = {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}
 _ISO = re.compile(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d(?::\d\d(?:\.\d+)?)?(?:Z|[+-]\d\d:?\d\d)?$")
 _NUMBER = re.compile(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?$")
+_PLAIN_INT = re.compile(r"(?:0|-?[1-9]\d{0,17})$")
+_PLAIN_DEC = re.compile(r"-?(?:0|[1-9]\d*)\.\d+$")
 _YES_NO = {"true": "1", "yes": "1", "y": "1", "false": "0", "no": "0", "n": "0"}
 _PROFILE = "corpus string, file string, field string, written_at timestamp, kind string, key string, n bigint, sketch array<bigint>"
 EMPTY_SLOT = 2**62
 
 
+@dataclass(frozen=True)
+class Deep:
+    """An array or object nested too deeply for the JSON library: its text as it is."""
+
+    kind: str
+    raw: str
+
+
+def read_line(text: str | None) -> dict | None:
+    """The fields of a line, None where it is blank, no JSON or no object; a key that repeats counts with its last value."""
+    if not text:
+        return None
+    try:
+        line = json.loads(text)
+    except ValueError:
+        return None
+    except RecursionError:
+        return _read_deep(text)
+    return line if isinstance(line, dict) else None
+
+
+def _read_deep(text: str) -> dict | None:
+    out, depth, key, begun = {}, 0, None, 0
+    try:
+        for event, value, kind, start, end in events(text):
+            if depth == 0 and event != "{":
+                return None
+            if event in "{[":
+                depth += 1
+                begun = start if depth == 2 else begun
+            elif event in "}]":
+                depth -= 1
+                if depth == 1:
+                    out[key] = Deep("array" if event == "]" else "object", text[begun:end])
+            elif depth == 1:
+                key, out[key if event == "value" else value] = (value, None) if event == "key" else (key, json.loads(text[start:end]))
+    except ValueError:
+        return None
+    return out
+
+
+def json_type(value) -> str:
+    if isinstance(value, Deep):
+        return value.kind
+    return {str: "string", bool: "boolean", int: "number", float: "number", list: "array", dict: "object"}[type(value)]
+
+
+def form_of(value) -> str:
+    """How a whole value is written: what unify() decides about the type of a column by."""
+    if isinstance(value, bool):
+        return "flag"
+    if isinstance(value, float):
+        return "dec"
+    if isinstance(value, int):
+        return "bit" if value in (0, 1) else "epoch" if _number(value)[1] == "time" else "int" if -(2**63) <= value < 2**63 else "dec"
+    if not isinstance(value, str):
+        return "object_id" if isinstance(value, dict) and isinstance(value.get("id"), (str, int)) else json_type(value)
+    if value.lower() in _YES_NO:
+        return "flag"
+    if _PLAIN_INT.match(value):
+        return form_of(int(value))
+    if _PLAIN_DEC.match(value):
+        return "dec"
+    return "iso" if _instant(value) is not None else "text"
+
+
+def _instant(text: str) -> datetime | None:
+    if _ISO.match(text):
+        try:
+            at = datetime.fromisoformat(text)
+            return at.replace(tzinfo=at.tzinfo or timezone.utc)
+        except ValueError:
+            pass
+    return None
+
+
 def tokens_of(value) -> list[tuple[str, str]]:
     """(normalised value, shape) of a field's value: lists and objects by their members, numbers and times by meaning."""
     if isinstance(value, bool):
@@ -43,17 +123,16 @@ def tokens_of(value) -> list[tuple[str, str]]:
         return [t for v in value if v is not None for t in tokens_of(v)]
     if isinstance(value, dict):
         return [t for v in value.values() if v is not None for t in tokens_of(v)]
+    if isinstance(value, Deep):
+        return [(value.raw, "deep")]
     text = str(value).strip()
     if text.lower() in _YES_NO:
         return [(_YES_NO[text.lower()], "flag")]
     if _NUMBER.match(text):
         return [_number(float(text) if re.search(r"[.eE]", text) else int(text))]
-    if _ISO.match(text):
-        try:
-            at = datetime.fromisoformat(text)
-            return [(str(int(at.replace(tzinfo=at.tzinfo or timezone.utc).timestamp())), "time")]
-        except ValueError:
-            pass
+    at = _instant(text)
+    if at is not None:
+        return [(str(int(at.timestamp())), "time")]
     if ";" in text or "|" in text:
         parts = [p.strip() for p in re.split(r"[;|]", text)]
         if all(p and " " not in p for p in parts):
@@ -79,7 +158,7 @@ def _shape(text: str) -> str:
     if re.fullmatch(r"[0-9a-f]{12,}", text):
         return f"hex{len(text)}"
     out = re.sub(r"[A-Z]+", "A", re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "9", text)))
-    return out[:40]
+    return out if len(out) <= 40 else f"#{xxhash.xxh3_64_hexdigest(out)}"
 
 
 def _slot(token: str) -> tuple[int, int]:
@@ -90,6 +169,9 @@ def _slot(token: str) -> tuple[int, int]:
 OPEN_FIELDS = 50_000  # fields of files that a task keeps open before it gives them out
 
 
+KNOWN = 50_000  # strings whose tokens a task remembers
+
+
 def _count(found: dict[tuple, list], key: tuple, n: int = 1) -> None:
     entry = found.get(key)
     if entry is None:
@@ -98,23 +180,43 @@ def _count(found: dict[tuple, list], key: tuple, n: int = 1) -> None:
         entry[0] += n
 
 
-def _profile_value(found: dict[tuple, list], value) -> None:
-    """Add a field's value to its profile: type, members, shapes and the least hash of each sketch slot."""
-    _count(found, ("type", _TYPES[type(value)]))
-    tokens = tokens_of(value)
+def _looked_up(value, known: dict) -> tuple[str, str, list[tuple[str, int, int]]]:
+    """(JSON type, form, (shape, slot, hash) of the members) of a value; those of strings are remembered."""
+    plain = isinstance(value, str)
+    if plain and value in known:
+        return known[value]
+    out = json_type(value), form_of(value), [(shape, *_slot(token)) for token, shape in _tokens(value)]
+    if plain:
+        if len(known) >= KNOWN:
+            known.clear()
+        known[value] = out
+    return out
+
+
+def _tokens(value) -> list[tuple[str, str]]:
+    try:
+        return tokens_of(value)
+    except RecursionError:  # nested less deeply than the JSON library gives up on
+        return [(repr(type(value)), "deep")]
+
+
+def _profile_value(found: dict[tuple, list], value, known: dict) -> None:
+    """Add a field's value to its profile: type, form, members, shapes and the least hash of each sketch slot."""
+    kind, form, tokens = _looked_up(value, known)
+    _count(found, ("type", kind))
+    _count(found, ("form", form))
     _count(found, ("members", ""), len(tokens))
     if ("sketch", "") not in found:
         found["sketch", ""] = [0, [EMPTY_SLOT] * SLOTS]
     sketch = found["sketch", ""][1]
-    for token, shape in tokens:
+    for shape, slot, h in tokens:
         _count(found, ("shape", shape))
-        slot, h = _slot(token)
         if h < sketch[slot]:
             sketch[slot] = h
 
 
 def profile(df: DataFrame, corpus: str, file: str, written_at: str, payload: str) -> DataFrame:
-    """(corpus, file, field, kind, key, written_at, n, sketches): merged profile entries of every field of every file.
+    """(corpus, file, field, written_at, kind, key, n, sketch): profile entries of the fields of files, by task; written out.
 
     Lines that are null, blank, no JSON or no object are left out, null values do not count; fields in a file are those
     with any other value. ``*`` is the field of a file's own entry, which a file without readable lines has too.
@@ -124,21 +226,18 @@ def profile(df: DataFrame, corpus: str, file: str, written_at: str, payload: str
     types = [pa.string()] * 3 + [pa.timestamp("us", "UTC")] + [pa.string()] * 2 + [pa.int64(), pa.list_(pa.int64())]
 
     def flush(parts: dict[tuple, dict[tuple, list]]) -> pa.RecordBatch:
-        cells = [(h[0], h[1], h[2], h[3], *k, *v) for h, found in parts.items() for k, v in found.items()]
+        cells = [(h[0], h[1], h[2].encode("utf-8", "replace").decode(), h[3], k[0], k[1].encode("utf-8", "replace").decode(), *v) for h, found in parts.items() for k, v in found.items()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), types)], names=names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple, dict[tuple, list]] = {}
+        known: dict = {}
         for batch in batches:
             for name, path, at, text in zip(*(c.to_pylist() for c in batch.columns)):
                 _count(parts.setdefault((name, path, "*", at), {}), ("file", ""))
-                try:
-                    line = json.loads(text) if text else None
-                except (ValueError, RecursionError):
-                    continue
-                for field, value in line.items() if isinstance(line, dict) else ():
+                for field, value in (read_line(text) or {}).items():
                     if value is not None:
-                        _profile_value(parts.setdefault((name, path, field, at), {}), value)
+                        _profile_value(parts.setdefault((name, path, field, at), {}), value, known)
             if len(parts) > OPEN_FIELDS:
                 yield flush(parts)
                 parts = {}
@@ -148,82 +247,82 @@ def profile(df: DataFrame, corpus: str, file: str, written_at: str, payload: str
     lines = df.select(F.col(corpus).cast("string").alias("a"), F.col(file).cast("string").alias("b"), F.col(written_at).cast("timestamp").alias("c"), F.col(payload).cast("string").alias("d"))
     # lines of a file come together, so a task merges them before anything is shuffled; a large file spans several ranges
     lines = lines.where("b IS NOT NULL").repartitionByRange("a", "b", F.xxhash64("d"))
-    entries = lines.mapInArrow(scan, _PROFILE)
-    return entries.groupBy("corpus", "file", "field", "kind", "key").agg(
-        F.min("written_at").alias("written_at"), F.sum("n").alias("n"), F.collect_list("sketch").alias("sketches")
-    )  # as many sketches as tasks that met the file
+    return materialize(lines.mapInArrow(scan, _PROFILE).withColumn("corpus", _named("corpus")), "drift-profile")
+
+
+def _named(corpus: str) -> Column:
+    """A corpus as a key that is never null: a null corpus is a stream of its own."""
+    return F.when(F.col(corpus).isNull(), "").otherwise(F.concat(F.lit("="), F.col(corpus)))
 
 
-def _merged(sketches: Column) -> Column:
-    empty = F.array_repeat(F.lit(EMPTY_SLOT).cast("bigint"), SLOTS)
-    return F.aggregate(sketches, empty, lambda a, x: F.zip_with(a, x, lambda p, q: F.least(p, q)))
+FIELD = ["corpus", "file", "field"]
 
 
 def field_profiles(entries: DataFrame) -> DataFrame:
-    """(corpus, file_no, file, field, types, members, shapes, slots, n): a row per file and field; file_no from 0."""
-    per = entries.groupBy("corpus", "file", "field").agg(
+    """(corpus, file_no, file, field, type, n, members, slots): a row per file and field; file_no counts a corpus's files."""
+    kinds = entries.where("kind IN ('type', 'members', 'file')").groupBy(*FIELD, "kind", "key").agg(F.min("written_at").alias("written_at"), F.sum("n").alias("n"))
+    per = kinds.groupBy(*FIELD).agg(
         F.min("written_at").alias("written_at"),
         F.max(F.when(F.col("kind") == "type", F.struct("n", "key"))).getField("key").alias("type"),
         F.sum(F.when(F.col("kind") == "type", F.col("n"))).alias("n"),
         F.sum(F.when(F.col("kind") == "members", F.col("n"))).alias("members"),
-        F.array_agg(F.when(F.col("kind") == "shape", F.struct("n", "key"))).alias("shapes"),
-        F.max(F.when(F.col("kind") == "sketch", _merged(F.col("sketches")))).alias("slots"),
-    )
-    # shapes of free text are many: the most frequent ones tell enough
-    per = per.withColumn("shapes", F.slice(F.sort_array("shapes", False), 1, 24))
-    files = per.where("field = '*'").select("corpus", "file", "written_at")
-    order = Window.partitionBy("corpus").orderBy("written_at", "file")
-    files = files.withColumn("file_no", F.row_number().over(order) - 1).select("corpus", "file", "file_no")
-    same = (F.col("f.corpus").eqNullSafe(F.col("p.corpus"))) & (F.col("f.file") == F.col("p.file"))
-    return files.alias("f").join(per.alias("p"), same).select(
-        F.col("f.corpus").alias("corpus"), "file_no", F.col("f.file").alias("file"), "field", "type", "n", "members", "shapes", "slots"
     )
+    least = entries.where("kind = 'sketch'").groupBy(*FIELD).agg(*[F.min(F.col("sketch")[k]).alias(f"s{k}") for k in range(SLOTS)])
+    slots = least.select(*FIELD, F.array(*[f"s{k}" for k in range(SLOTS)]).alias("slots"))
+    files = distributed_rank(per.where("field = '*'").select("corpus", "file", "written_at"), ["corpus"], ["written_at", "file"], "file_no")
+    found = per.drop("written_at").join(slots, FIELD, "left")
+    return files.select("corpus", "file", F.col("file_no") - 1).toDF("corpus", "file", "file_no").join(found, ["corpus", "file"])
+
 
+def shape_shares(entries: DataFrame) -> DataFrame:
+    """(corpus, file, field, key, share): how the members of a field share out over shapes.
+
+    0 and 1 count as flags if no longer whole number stands beside them, else as one-digit numbers.
+    """
+    n = entries.where("kind = 'shape'").groupBy(*FIELD, "key").agg(F.sum("n").alias("n"))
+    whole = n.groupBy(*FIELD).agg(F.bool_or(F.startswith("key", F.lit("int"))).alias("ints"), F.sum("n").alias("all"))
+    key = F.when(F.col("key") != "flag?", F.col("key")).when(F.col("ints"), "int1").otherwise("flag")
+    return n.join(whole, FIELD).groupBy(*FIELD, key.alias("key")).agg((F.sum("n") / F.max("all")).alias("share"))
 
-def similarity(a: dict, b: dict) -> float:
-    """0 to 1: do the values of two fields look like one field? Value sketches, shapes, names and list-likeness."""
-    equal = sum(1 for x, y in zip(a["slots"], b["slots"]) if x == y != EMPTY_SLOT)
-    filled = [sum(1 for x in f["slots"] if x != EMPTY_SLOT) for f in (a, b)]
-    value = min(1.0, 2.0 * equal / max(1, min(filled)))
-    p, q = {s["key"]: s["n"] for s in a["shapes"]}, {s["key"]: s["n"] for s in b["shapes"]}
-    p, q = _flags(p), _flags(q)
-    pn, qn = sum(p.values()) or 1, sum(q.values()) or 1
-    shape = sum(min(p[k] / pn, q[k] / qn) for k in p if k in q)
-    name = name_similarity(a["field"], b["field"])
-    many = a["members"] / a["n"], b["members"] / b["n"]
-    lists = a["type"] == "array" or many[0] > 1.05, b["type"] == "array" or many[1] > 1.05
-    objects = a["type"] == "object", b["type"] == "object"
-    kind = 1.0 if a["type"] == b["type"] else 0.7
-    if objects[0] != objects[1]:
-        kind = 0.55
-    elif lists[0] != lists[1]:
-        kind = 0.5
-    return kind * (0.25 * value + 0.5 * shape + 0.25 * name)
-
-
-def _flags(shapes: dict[str, int]) -> dict[str, int]:
-    """0 and 1 count as flags if nothing else stands beside them, else as one-digit numbers."""
-    if "flag?" not in shapes:
-        return shapes
-    rest = {k: v for k, v in shapes.items() if k != "flag?"}
-    to = "flag" if not any(k.startswith("int") for k in rest) else "int1"
-    rest[to] = rest.get(to, 0) + shapes["flag?"]
-    return rest
-
-
-def name_similarity(a: str, b: str) -> float:
-    x, y = set(re.findall(r"[a-z]+|\d+", a.lower())), set(re.findall(r"[a-z]+|\d+", b.lower()))
-    return len(x & y) / max(1, min(len(x), len(y)))
-
-
-def match(gone: list[dict], new: list[dict], threshold: float = THRESHOLD) -> list[tuple[str, str]]:
-    """Pairs of a maximum-weight bipartite matching whose similarity reaches the threshold (Hungarian method)."""
-    if not gone or not new:
+
+def _words(name: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(r"([a-z]+|\d+)"), F.lit(1)))
+
+
+def similarities(gone: DataFrame, come: DataFrame, shares: DataFrame) -> DataFrame:
+    """(corpus, step, old_field, new_field, weight): 0 to 1, do two fields look like one? Sketches, shapes, names, kinds.
+
+    ``gone`` and ``come``: (corpus, step, file, field, type, n, members, slots), the fields that two consecutive files
+    do not share.
+    """
+    key = ["corpus", "step"]
+    side = lambda df, s: df.select(*key, *[F.col(c).alias(f"{s}_{c}") for c in df.columns if c not in key])
+    pairs = side(gone, "o").join(side(come, "w"), key)
+    held = lambda df, out: df.join(shares, FIELD).select(*key, F.col("field").alias(f"{out}_field"), "key", F.col("share").alias(out))
+    shape = held(gone, "o").join(held(come, "w"), [*key, "key"]).groupBy(*key, "o_field", "w_field").agg(F.sum(F.least("o", "w")).alias("shape"))
+    equal = F.size(F.filter(F.zip_with("o_slots", "w_slots", lambda x, y: (x == y) & (x != EMPTY_SLOT)), lambda x: x))
+    filled = [F.size(F.filter(f"{s}_slots", lambda x: x != EMPTY_SLOT)) for s in "ow"]
+    value = F.least(F.lit(1.0), 2.0 * equal / F.greatest(F.lit(1), F.least(*filled)))
+    a, b = _words(F.col("o_field")), _words(F.col("w_field"))
+    name = F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.least(F.size(a), F.size(b)))
+    lists = [(F.col(f"{s}_type") == "array") | (F.col(f"{s}_members") / F.col(f"{s}_n") > 1.05) for s in "ow"]
+    objects = [F.col(f"{s}_type") == "object" for s in "ow"]
+    kind = F.when(objects[0] != objects[1], 0.55).when(lists[0] != lists[1], 0.5).when(F.col("o_type") == F.col("w_type"), 1.0).otherwise(0.7)
+    found = pairs.join(shape, [*key, "o_field", "w_field"], "left")
+    weight = kind * (0.25 * value + 0.5 * F.coalesce("shape", F.lit(0.0)) + 0.25 * name)
+    return found.select(*key, F.col("o_field").alias("old_field"), F.col("w_field").alias("new_field"), weight.alias("weight"))
+
+
+def match(edges: list[tuple[str, str, float]], threshold: float = THRESHOLD) -> list[tuple[str, str]]:
+    """Pairs of a maximum-weight bipartite matching over (old, new, weight) that reach the threshold (Hungarian method)."""
+    edges = [e for e in edges if e[2] >= threshold]
+    if not edges:
         return []
-    flip = len(gone) > len(new)
-    rows, columns = (new, gone) if flip else (gone, new)
-    weight = [[similarity(g, w) for w in columns] for g in rows]
-    weight = [[w if w >= threshold else 0.0 for w in line] for line in weight]
+    old, new = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
+    flip = len(old) > len(new)
+    rows, columns = (new, old) if flip else (old, new)
+    of_edge = {(e[1], e[0]) if flip else (e[0], e[1]): e[2] for e in edges}
+    weight = [[of_edge.get((r, c), 0.0) for c in columns] for r in rows]
     n, m = len(rows), len(columns)
     u, v, of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
     for i in range(1, n + 1):
@@ -250,60 +349,45 @@ def match(gone: list[dict], new: list[dict], threshold: float = THRESHOLD) -> li
                 break
         while j0:
             of[j0], j0 = of[way[j0]], way[j0]
-    pairs = [(rows[of[j] - 1]["field"], columns[j - 1]["field"], weight[of[j] - 1][j - 1]) for j in range(1, m + 1) if of[j]]
+    pairs = [(rows[of[j] - 1], columns[j - 1], weight[of[j] - 1][j - 1]) for j in range(1, m + 1) if of[j]]
     return [(b, a) if flip else (a, b) for a, b, w in pairs if w > 0]
 
 
-def _renames(gone: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([[{"old_field": a, "new_field": b} for a, b in match(list(g), list(w))] for g, w in zip(gone, new)])
+def _renames(edges: pd.Series) -> pd.Series:
+    return pd.Series([[{"old_field": a, "new_field": b} for a, b in match([(x["old_field"], x["new_field"], x["weight"]) for x in e])] for e in edges])
 
 
 def changes(entries: DataFrame) -> DataFrame:
-    """(corpus, file_no, file, change_type, old_field, new_field) of consecutive files; see find_changes()."""
+    """(file, change_type, old_field, new_field) of consecutive files; see find_changes()."""
     fields = field_profiles(entries)
-    now = fields.withColumn("step", F.col("file_no")).withColumn("side", F.lit(1))
-    before = fields.withColumn("step", F.col("file_no") + 1).withColumn("side", F.lit(0))
-    both = now.unionByName(before)
-    one = F.struct("field", "type", "n", "members", "shapes", "slots")
-    # a row per corpus, step and field; then a row per step, as wide as the schemas of two files
-    per_field = both.groupBy("corpus", "step", "field").agg(
-        F.max(F.when(F.col("side") == 1, F.col("file"))).alias("file"),
-        F.any_value(F.when(F.col("side") == 0, one), True).alias("old"),
-        F.any_value(F.when(F.col("side") == 1, one), True).alias("new"),
-    )
-    steps = per_field.groupBy("corpus", "step").agg(
-        F.max(F.when(F.col("field") == "*", F.col("file"))).alias("file"),
-        F.bool_or((F.col("field") == "*") & F.col("old").isNotNull()).alias("follows"),
-        F.array_agg(F.when(F.col("new").isNull() & (F.col("field") != "*"), F.col("old"))).alias("gone"),
-        F.array_agg(F.when(F.col("old").isNull() & (F.col("field") != "*"), F.col("new"))).alias("come"),
-        F.array_sort(F.array_agg(F.when((F.col("old.type") != F.col("new.type")), F.col("field")))).alias("retyped"),
-    ).where("file IS NOT NULL AND follows")
-    steps = steps.withColumn("gone", F.array_sort("gone", lambda a, b: _by_name(a, b))).withColumn(
-        "come", F.array_sort("come", lambda a, b: _by_name(a, b))
+    one = F.struct("file", "type", "n", "members", "slots")
+    both = fields.select("corpus", F.col("file_no").alias("step"), "field", F.lit(1).alias("side"), one.alias("x")).unionByName(
+        fields.select("corpus", (F.col("file_no") + 1).alias("step"), "field", F.lit(0).alias("side"), one.alias("x"))
     )
-    steps = steps.withColumn("pairs", F.pandas_udf(_renames, "array<struct<old_field string, new_field string>>")("gone", "come"))
-
-    def change(kind: str, old: Column, new: Column) -> Column:
-        return F.struct(F.lit(kind).alias("change_type"), old.alias("old_field"), new.alias("new_field"))
-
+    per = materialize(both.groupBy("corpus", "step", "field").agg(
+        F.any_value(F.when(F.col("side") == 0, F.col("x")), True).alias("old"), F.any_value(F.when(F.col("side") == 1, F.col("x")), True).alias("new"),
+    ), "drift-fields")
+    steps = per.where("field = '*' AND old IS NOT NULL AND new IS NOT NULL").select("corpus", "step", F.col("new.file").alias("now"))
+    live = per.where("field <> '*'").join(steps, ["corpus", "step"])
+    side = lambda s, t: live.where(f"{s} IS NOT NULL AND {t} IS NULL").select("corpus", "step", "now", "field", f"{s}.*")
+    gone, come = side("old", "new"), side("new", "old")
+    edges = similarities(gone.drop("now"), come.drop("now"), shape_shares(entries)).where(F.col("weight") >= THRESHOLD)
+    # a row per step holds the edges between the fields that two files do not share: schemas, not data
+    edges = edges.groupBy("corpus", "step").agg(F.sort_array(F.collect_list(F.struct("old_field", "new_field", "weight"))).alias("edges"))
+    matched = edges.select("corpus", "step", F.inline(F.pandas_udf(_renames, "array<struct<old_field string, new_field string>>")("edges")))
+    matched = materialize(matched, "drift-renames")
     none = F.lit("")
-    renamed_old = F.transform("pairs", lambda p: p.old_field)
-    renamed_new = F.transform("pairs", lambda p: p.new_field)
-    found = F.concat(
-        F.transform("pairs", lambda p: change("renamed", p.old_field, p.new_field)),
-        F.transform(F.filter("gone", lambda g: ~F.array_contains(renamed_old, g.field)), lambda g: change("removed", g.field, none)),
-        F.transform(F.filter("come", lambda g: ~F.array_contains(renamed_new, g.field)), lambda g: change("added", none, g.field)),
-        F.transform("retyped", lambda f: change("retyped", f, f)),
-    )
-    return steps.select("corpus", F.col("step").alias("file_no"), "file", F.explode(found).alias("c")).select(
-        "corpus", "file_no", "file", "c.*"
+    change = lambda df, kind, a, b: df.select(F.col("now").alias("file"), F.lit(kind).alias("change_type"), a.alias("old_field"), b.alias("new_field"))
+    lone = lambda df, c: df.join(matched.select("corpus", "step", F.col(c).alias("field")), ["corpus", "step", "field"], "left_anti")
+    field = F.col("field")
+    return (
+        change(matched.join(steps, ["corpus", "step"]), "renamed", F.col("old_field"), F.col("new_field"))
+        .unionByName(change(lone(gone, "old_field"), "removed", field, none))
+        .unionByName(change(lone(come, "new_field"), "added", none, field))
+        .unionByName(change(live.where("old.type <> new.type"), "retyped", field, field))
     )
 
 
-def _by_name(a: Column, b: Column) -> Column:
-    return F.when(a.field < b.field, -1).when(a.field > b.field, 1).otherwise(0)
-
-
 def find_changes(df: DataFrame, corpus: str, file: str, written_at: str, payload: str) -> DataFrame:
     """(file, change_type, old_field, new_field): each file's changes against the file before it in its corpus.
 
@@ -341,52 +425,90 @@ def canonical_names(found: DataFrame, seen: DataFrame) -> dict[str, str]:
     return {f: best[root(f)] for f in files}
 
 
-def unify(df: DataFrame, line_id: str, corpus: str, file: str, line_no: str, written_at: str, payload: str) -> DataFrame:
-    """All lines as one consistent table: the line's keys and one column per field, under its one name.
+#: The forms that all values of a column must have for it to get another type than text.
+COLUMN_TYPES = (("boolean", {"flag", "bit"}, {"flag"}), ("timestamp", {"iso", "epoch"}, {"iso"}), ("bigint", {"int", "bit", "epoch"}, set()), ("double", {"int", "bit", "epoch", "dec"}, set()))
+
+
+def column_types(forms: dict[str, set[str]]) -> dict[str, str]:
+    """Column to boolean, timestamp, bigint, double, list, id or string by the forms of all its values in all files."""
+    out = {}
+    for column, seen in forms.items():
+        out[column] = next((t for t, allowed, needed in COLUMN_TYPES if seen <= allowed and needed <= seen), None) or (
+            "list" if "array" in seen and seen <= {"array", "text"} else "id" if "object_id" in seen and seen & {"text", "int"} and "array" not in seen else "string"
+        )
+    return out
 
-    Values come as text normalised over all spellings: numbers and numeric strings alike, yes/no and 0/1 of flags as
-    true and false, times as ISO 8601, lists joined by ``;``, objects by their ``id`` or as JSON. Lines that do not parse
-    keep their keys and hold nulls; repeated lines stay. Fields that clash with a key's name get the suffix ``_field``.
+
+def unify(df: DataFrame, line_id: str, corpus: str, file: str, line_no: str, written_at: str, payload: str) -> DataFrame:
+    """All lines as one consistent table: the line's keys, one column per field under its one name, and ``_also``.
+
+    A column is boolean, timestamp, bigint or double if every value of the field in every file is one, however written
+    (yes and no, 0 and 1 beside them; ISO times, seconds and milliseconds; numbers and numeric text without leading
+    zeros). Else it is text and holds strings as they are, lists and objects as JSON; where some files have lists and
+    others text joined by ``;`` or ``|``, all are JSON lists, and where some have objects with an ``id`` and others plain
+    values, all are plain. ``_also`` maps field names to JSON values that found no place: the second of two names of one
+    field in a line, and objects given by their id. Lines that do not parse keep their keys and hold nulls; repeated
+    lines stay. Fields that clash with a key's name, or but for case with another field's, get the suffix ``_field``.
     """
-    entries = materialize(profile(df, corpus, file, written_at, payload), "drift-profile")
-    fields = entries.where("kind = 'type'")
-    names = canonical_names(changes(entries), fields.groupBy("field").agg(F.countDistinct("file").alias("files")))
-    times = {r[0] for r in entries.where("kind = 'shape' AND key = 'time'").select("field").distinct().collect()}
-    flags = {r[0] for r in entries.where("kind = 'shape' AND key = 'flag'").select("field").distinct().collect()}
-    columns = sorted(set(names.values()))
-    as_time = {c for f, c in names.items() if f in times}
-    as_flag = {c for f, c in names.items() if f in flags}
+    entries = profile(df, corpus, file, written_at, payload)
+    seen = entries.where("kind = 'type'").groupBy("field").agg(F.countDistinct("corpus", "file").alias("files"))
+    names = canonical_names(changes(entries), seen)
+    forms: dict[str, set[str]] = {}
+    for f, form in entries.where("kind = 'form'").select("field", "key").distinct().collect():  # ten forms a field at most
+        forms.setdefault(names[f], set()).add(form)
+    types = column_types(forms)
     keys = [line_id, corpus, file, line_no]
 
-    @F.pandas_udf("map<string,string>")
-    def read(texts: pd.Series) -> pd.Series:
-        return pd.Series([_normalised(t, names, as_time, as_flag) for t in texts])
+    @F.pandas_udf("struct<v map<string,string>, also map<string,string>>")
+    def read(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_unified(t, names, types) for t in texts], columns=["v", "also"])
 
-    lines = df.select(*keys, read(F.col(payload).cast("string")).alias("_values"))
-    taken = {k.lower() for k in keys}
-    return lines.select(*keys, *[F.col("_values")[c].alias(f"{c}_field" if c.lower() in taken else c) for c in columns])
+    lines = df.select(*keys, read(F.col(payload).cast("string")).alias("_x"))
+    taken, columns = {k.lower() for k in keys} | {"_also"}, []
+    for c in sorted(types):
+        out = c
+        while out.lower() in taken:
+            out += "_field"
+        taken.add(out.lower())
+        columns.append(F.col("_x.v")[c].cast(types[c] if types[c] in ("boolean", "timestamp", "bigint", "double") else "string").alias(out))
+    return lines.select(*keys, *columns, F.when(F.size("_x.also") > 0, F.col("_x.also")).alias("_also"))
 
 
-def _normalised(text: str | None, names: dict[str, str], times: set[str], flags: set[str]) -> dict[str, str]:
-    try:
-        line = json.loads(text) if text else {}
-    except (ValueError, RecursionError):
-        return {}
-    out: dict[str, str] = {}
-    for field, value in line.items() if isinstance(line, dict) else ():
+def _as_json(value) -> str:
+    return value.raw if isinstance(value, Deep) else json.dumps(value, ensure_ascii=False)
+
+
+def _unified(text: str | None, names: dict[str, str], types: dict[str, str]) -> tuple[dict[str, str], dict[str, str]]:
+    out, also = {}, {}
+    line = read_line(text) or {}
+    # a field's own name goes before its other names, so the order of keys in a line decides nothing
+    for field in sorted(line, key=lambda f: (names.get(f) != f, f)):
+        value = line[field]
         if value is None or field not in names:
             continue
         name = names[field]
-        if name in out and field != name:
-            continue
-        if isinstance(value, dict):
-            out[name] = str(value["id"]) if "id" in value else json.dumps(value, ensure_ascii=False, sort_keys=True)
+        if name in out:
+            also[field] = _as_json(value)
             continue
-        parts = tokens_of(value)
-        if name in times and parts and parts[0][1] == "time":
-            out[name] = datetime.fromtimestamp(int(parts[0][0]), timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-        elif name in flags and len(parts) == 1 and parts[0][0] in "01":
-            out[name] = "true" if parts[0][0] == "1" else "false"
-        else:
-            out[name] = ";".join(p[0] for p in parts)
-    return out
+        out[name] = _written(value, types[name])
+        if types[name] == "id" and isinstance(value, dict):
+            also[field] = _as_json(value)
+    clean = lambda d: {k: v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if not v.isascii() else v for k, v in d.items()}
+    return clean(out), clean(also)
+
+
+def _written(value, kind: str) -> str:
+    if kind == "boolean":
+        return "true" if value is True or str(value).lower() in ("1", "true", "yes", "y") else "false"
+    if kind == "timestamp":
+        if isinstance(value, str) and not value.isdigit():
+            return _instant(value).astimezone(timezone.utc).isoformat()
+        n = int(value)
+        return datetime.fromtimestamp(n // 1000 if n > 10**11 else n, timezone.utc).replace(microsecond=n % 1000 * 1000 if n > 10**11 else 0).isoformat()
+    if kind == "list":
+        if isinstance(value, str):
+            value = re.split(r"[;|]", value) if re.fullmatch(r"[^\s;|]+(?:[;|][^\s;|]+)+", value) else [value]
+        return _as_json(value)
+    if kind == "id" and isinstance(value, dict) and "id" in value:
+        return str(value["id"])
+    return value if isinstance(value, str) else _as_json(value)
