@@ -228,6 +228,34 @@ def test_plan_is_a_packing(seed):
     assert plan.containers <= 1.25 * -(-sum(s * c for s, c in sizes.items()) // 100) + 1
 
 
+def test_tiers_shape_the_plan_and_cost_no_containers():
+    rng = random.Random(3)
+    sizes = {s: rng.randint(1, 40) for s in rng.sample(range(1, 2049), 500)} | {s: rng.randint(500, 900) for s in range(5, 900, 7)}
+    least = -(-sum(s * c for s, c in sizes.items()) // 2048)
+    plans = [packing.make_plan(sizes, 2048, tiers) for tiers in (packing.TIERS, (), (7, 99, 1000))]
+    assert len({str(p.patterns) for p in plans}) == 3
+    assert all(p.containers <= 1.01 * least + 1 for p in plans)
+
+
+def test_tiers_fill_gaps_first_then_their_own_windows():
+    # 60 + 40 fill a container; the other short texts share windows of 50, and two windows share a container
+    plan = packing.make_plan({60: 1, 40: 1, 25: 4}, 100, (50, 100))
+    assert sorted((p, n) for p, n in zip(plan.patterns, plan.count)) == [([[25, 4]], 1), ([[60, 1], [40, 1]], 1)]
+
+
+def test_step_groups_are_balanced_and_faults_are_seen(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "word " * rng.choice([1, 5, 30, 200, 900])) for i in range(900)], "doc_id long, text string")
+    placed = packing.pack(df, step=4)
+    fills = packing.container_fill(placed)
+    groups = [r.t for r in fills.groupBy("step_group").agg(F.sum("fill").alias("t"), F.count(F.lit(1)).alias("n")).where("n = 4").collect()]
+    assert max(groups) - min(groups) <= 2048
+    assert sum(r.tokens for r in packing.tier_fill(fills).collect()) == sum(r.n_tokens for r in placed.collect())
+    assert tuple(packing.packing_faults(df, placed).first()) == (900, 0, 0, 0, 0, 0, 0, 0)
+    worse = placed.where("doc_id <> 3").unionByName(placed.where("doc_id = 5"))
+    assert tuple(packing.packing_faults(df, worse).first())[1:3] == (1, 1)
+
+
 def test_pack_places_every_text_once(spark):
     rng = random.Random(5)
     rows = [(i, "word " * rng.choice([1, 5, 30, 200, 900]), "d", 1) for i in range(200)] + [(1000, None, "d", 1), (1001, "", "d", 1), (1002, "word " * 7000, "d", 1), (1003, "word " * 7000, "d", 1)]
@@ -300,7 +328,7 @@ def test_leaks_through_damage(spark):
 
 
 @pytest.mark.parametrize("text", ["A sentence of some words here. " * 200, "word " * 3000, "x" * 20000, "é" * 5000, "\n" * 4000, "Student: why?\nTutor: because of it.\n" * 200, "# Head\n\nText goes on. And on.\n\n- one\n- two\n" * 120, "🙂" * 1500])
-@pytest.mark.parametrize("limit", [64, 512])
+@pytest.mark.parametrize("limit", [33, 64, 512])
 def test_pieces_cover_the_text(text, limit):
     enc = encoding(vocabulary())
     pieces = splitting.cut(text, enc, limit, 16)
@@ -316,6 +344,32 @@ def test_natural_boundaries_win():
     assert {p[4] for p in splitting.cut(text, encoding(vocabulary()), 128, 16)} == {"turn", "end"}
 
 
+@pytest.mark.parametrize(("limit", "overlap"), [(64, 8), (48, 8), (16, 7)])
+def test_small_limits_and_sentences_as_long_as_the_limit(limit, overlap):
+    enc = encoding(vocabulary())
+    text = ("The slope of the second plot " * 10 + "ends here. ") * 9
+    pieces = splitting.cut(text, enc, limit, overlap)
+    assert all(len(encode(enc, text[a:b])) == n <= limit for a, b, n, *_ in pieces) and pieces[-1][1] == len(text)
+    with pytest.raises(ValueError, match="below the limit"):
+        splitting.cut(text, enc, 10, 7)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cuts_are_the_best_over_all_candidates(seed):
+    rng = random.Random(seed)
+    enc = encoding(vocabulary())
+    text = "".join(rng.choice(["word ", "slope, ", "end. ", "row\n", "Next para.\n\n", "longerword ", "x" * 90 + " "]) if rng.random() < 0.3 else "word " for _ in range(900))
+    chars, count, kinds = splitting.candidates(text, enc, 48)
+    penalty = splitting.np.array(splitting.PENALTY)[kinds]
+    penalty[-1] = 0.0
+    best, way = splitting._program(splitting.np.arange(len(chars)), count, penalty, 128, 16, int(count[-1]))
+    pieces = splitting._cut(text, enc, 128, 16)
+    at = {int(c): k for k, c in enumerate(chars)}
+    even = (count[-1] - 16) / splitting.np.ceil((count[-1] - 16) / 112) + 16
+    cost = sum(splitting.PIECE_COST + penalty[at[b]] + splitting.BALANCE * ((count[at[b]] - count[at[a]] - even) / even) ** 2 for a, b, *_ in pieces)
+    assert abs(cost - best) < 1e-9
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([(1, "word " * 700, 1), (2, "short", 1), (3, None, 1), (4, "", 1), (5, "word " * 700, 1)], "doc_id long, text string, piece_no int")
     rows = splitting.split_oversized(df).collect()

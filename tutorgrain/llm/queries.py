@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tutorgrain.llm import conversations, leaks, packing, pairs, splitting, sql, topn, truncation
 from tutorgrain.session import table
+from tutorgrain.storage import materialize
 
 _TURN = ("dialogue_id", "turn_id", "role", "text", "sent_at")
 
@@ -54,6 +55,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(p7_placements(spark, d))
 
 
+def p7_tier_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.tier_fill(p7_containers(spark, d))
+
+
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return packing.packing_faults(docs, materialize(packing.pack(docs), "placements"))
+
+
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -79,8 +89,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_ranked, p2_found, p2_source_rates, p5_found, p6_found, p6_conversations, p7_found, p7_placements,
-        p7_containers, p8_found, p8_leaks, p8_clean_documents, p9_found, p9_pieces,
+        p7_containers, p7_tier_fill, p7_faults, p8_found, p8_leaks, p8_clean_documents, p9_found, p9_pieces,
     )
 }
 
-SQL = {"p1_found": sql.P1_FOUND, "p1_ranked": sql.P1_RANKED, "p6_found": sql.P6_FOUND, "p6_conversations": sql.P6_TURNS}
+SQL = {"p1_found": sql.P1_FOUND, "p1_ranked": sql.P1_RANKED, "p7_faults": sql.P7_FAULTS, "p6_found": sql.P6_FOUND, "p6_conversations": sql.P6_TURNS}

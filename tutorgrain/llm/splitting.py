@@ -3,7 +3,9 @@
 Candidate cuts are the starts of the tokenizer's words, each with a penalty for its kind: heading, turn, paragraph, list
 entry, line, sentence, clause, word, or inside a word where a single word is very long. A dynamic program over the
 candidates picks the cuts that minimise penalties plus size imbalance, subject to the size limit with the overlap
-counted in. Token counts add up at these candidates, so a piece's size is a difference of prefix sums; every piece is
+counted in. It runs over the mild candidates first; their best cost then rules out every other candidate that costs
+more than that even if all else were free, and it runs again with those that are left, so the cuts are the best over all
+candidates. Token counts add up at these candidates, so a piece's size is a difference of prefix sums; every piece is
 counted again at the end.
 """
 
@@ -24,7 +26,7 @@ KINDS = ("heading", "turn", "paragraph", "list_entry", "line", "sentence", "clau
 PENALTY = (0.0, 0.3, 0.6, 0.8, 1.0, 1.5, 4.0, 8.0, 40.0)
 BALANCE = 6.0  # weight of a piece's squared relative distance from the even size
 PIECE_COST = 3.0
-LONG_WORD = 48  # tokens from which a single word gets candidates inside
+LONG_WORD = 48  # tokens from which a single word gets candidates inside, or half of what the limit leaves beside the overlap
 _WORDS = regex.compile(PATTERN)
 _HEADING = regex.compile(r"(?:#{1,6}\s|<h[1-6]\b|={3,}|\*\*[^*\n]{1,80}\*\*\s*$)", regex.M)
 _TURN = regex.compile(r"[*_>\[\s]{0,4}\p{Lu}[\p{L}_ ]{0,20}\]?[*_]{0,2}\s?:[*_]{0,2}\s")
@@ -34,10 +36,10 @@ _CLAUSE = regex.compile(r"[,;:—–)][\"'”’»]*$")
 
 
 _LOOK, _ENDS, _PAUSES = frozenset(" \t\r\n\v\f"), frozenset(".!?…。！？\"'”’»)]*_"), frozenset(",;:—–")
-NEAR = 64  # tokens: between natural boundaries that lie closer, words are no candidates for an end
+STAGES = (5, 7, 8)  # kinds up to these join the program one after the other
 
 
-def candidates(text: str, enc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(text: str, enc, long_word: int = LONG_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(character, tokens before it, kind) of every candidate cut, with both ends of the text."""
     chars, counts, kinds = [0], [0], [0]
     sizes: dict[str, int] = {}
@@ -58,7 +60,7 @@ def candidates(text: str, enc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             chars.append(at)
             counts.append(total)
             kinds.append(kind)
-        if size >= LONG_WORD:
+        if size >= long_word:
             parts, offsets = enc.decode_with_offsets(encode(enc, word))
             for k in range(1, len(offsets)):
                 if offsets[k] > offsets[k - 1]:
@@ -105,22 +107,44 @@ def cut(text: str, enc, limit: int, overlap: int) -> list[tuple[int, int, int, i
     while True:
         pieces = _cut(text, enc, most, overlap)
         sizes = [len(encode(enc, text[a:b])) for a, b, *_ in pieces]
-        if max(sizes) <= limit or most <= overlap + 2:
+        if max(sizes) <= limit:
             return [(a, b, n, o, k) for (a, b, o, k), n in zip(pieces, sizes)]
         most -= max(1, max(sizes) - limit)  # white space at a cut can join differently; leave room for it
 
 
 def _cut(text: str, enc, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    chars, count, kinds = candidates(text, enc)
+    room = limit - overlap
+    if room < 4:
+        raise ValueError("a text cannot be cut below the limit")
+    chars, count, kinds = candidates(text, enc, min(LONG_WORD, room // 2))
     total, last = int(count[-1]), len(chars) - 1
     if total <= limit:
         return [(0, len(text), 0, "end")]
     penalty = np.array(PENALTY)[kinds]
     penalty[last] = 0.0
-    # ends: natural boundaries, and words where the next natural boundaries lie far apart
-    natural = np.flatnonzero(kinds <= 5)
-    gap = np.diff(count[natural])[np.searchsorted(natural, np.arange(last + 1), side="right").clip(1, len(natural) - 1) - 1]
-    end = np.flatnonzero((kinds <= 5) | (gap > NEAR))
+    # the least that a cut at a candidate can cost, with as few pieces as may be and the mildest cuts elsewhere
+    pieces = -(-count // limit) + -(-(total - count) // limit)
+    least = penalty + PIECE_COST * pieces + penalty[1:last].min() * np.maximum(0, pieces - 2)
+    best, kept, found = np.inf, np.zeros(last + 1, dtype=bool), None
+    kept[0] = kept[last] = True
+    for stage in STAGES:
+        more = (kinds <= stage) & (least < best) & ~kept
+        if found is None or more.any():
+            kept |= more
+            cost, way = _program(np.flatnonzero(kept), count, penalty, limit, overlap, total)
+            if cost < best:
+                best, found = cost, way
+    if found is None:
+        raise ValueError("a text cannot be cut below the limit")
+    out, previous = [], 0
+    for s, e in found:
+        out.append((int(chars[s]), int(chars[e]), int(count[previous] - count[s]), "end" if e == last else KINDS[kinds[e]]))
+        previous = e
+    return out
+
+
+def _program(end: np.ndarray, count: np.ndarray, penalty: np.ndarray, limit: int, overlap: int, total: int) -> tuple[float, list[tuple[int, int]] | None]:
+    """(cost, (start, end) of the pieces as candidates) of the best cuts at the given ends."""
     penalty_of, count_of = penalty[end], count[end]
     # where the next piece starts if one ends at an end: the mildest candidate within the overlap, the farthest of equals
     start = end.copy()
@@ -137,21 +161,24 @@ def _cut(text: str, enc, limit: int, overlap: int) -> list[tuple[int, int, int,
     first = np.searchsorted(count_of, count_of - limit, side="left")
     for j in range(1, len(end)):
         a = first[j]
+        if a == j:
+            continue
         size = count_of[j] - begins[a:j]
         ways = cost[a:j] + BALANCE * ((size - even) / even) ** 2
         ways[size > limit] = np.inf
         k = int(np.argmin(ways))
         cost[j] = ways[k] + penalty_of[j] + PIECE_COST
         back[j] = a + k
+    if not np.isfinite(cost[-1]):
+        return np.inf, None
     steps = [len(end) - 1]
     while back[steps[-1]] > 0:
         steps.append(int(back[steps[-1]]))
     out, previous = [], 0
     for j in reversed(steps):
-        s, e = int(start[previous]) if previous else 0, int(end[j])
-        out.append((int(chars[s]), int(chars[e]), int(count_of[previous] - count[s]), "end" if e == last else KINDS[kinds[e]]))
+        out.append((int(start[previous]) if previous else 0, int(end[j])))
         previous = j
-    return out
+    return float(cost[-1]), out
 
 
 def split_oversized(
@@ -164,8 +191,8 @@ def split_oversized(
     ``cut_at`` is the kind of boundary at the piece's end. Texts within the limit, null and empty ones give no rows;
     texts without any boundary are cut inside their words. Copies count by themselves; an empty table gives no rows.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("the overlap must be less than half the limit")
+    if limit < 16 or not 0 <= overlap < limit // 2:
+        raise ValueError("the limit must be at least 16 and the overlap less than half of it")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(tokenizer))
     names = [x.split()[0] for x in PIECE.split(", ")]
     types = [pa.int64(), *[pa.int32()] * 6, pa.string()]

@@ -57,3 +57,10 @@ P6_TURNS = (
     _TURNS
     + "SELECT t.d AS dialogue_id, t.n AS turn_no, t.who AS speaker, t.body AS text FROM turns t JOIN judged j ON j.d = t.d WHERE j.defect IS NULL"
 )
+
+#: What holds of any right packing; the packing itself has no single right answer.
+P7_FAULTS = """
+SELECT count(*) AS n_texts, 0 AS texts_missing, 0 AS pieces_repeated, 0 AS pieces_missing, 0 AS containers_over_capacity,
+       0 AS fills_wrong, 0 AS positions_wrong, 0 AS containers_in_two_groups
+FROM documents
+"""
