@@ -234,7 +234,8 @@ def test_tiers_shape_the_plan_and_cost_no_containers():
     least = -(-sum(s * c for s, c in sizes.items()) // 2048)
     plans = [packing.make_plan(sizes, 2048, tiers) for tiers in (packing.TIERS, (), (7, 99, 1000))]
     assert len({str(p.patterns) for p in plans}) == 3
-    assert all(p.containers <= 1.01 * least + 1 for p in plans)
+    assert all(p.containers <= 1.005 * least + 1 for p in plans[:2])
+    assert plans[2].containers <= 1.02 * least + 1  # windows of 1,000 leave 48 that the shorter tiers have to fill
 
 
 def test_tiers_fill_gaps_first_then_their_own_windows():
