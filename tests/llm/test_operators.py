@@ -201,14 +201,60 @@ def test_long_conversations_cross_blocks(spark):
 
 
 def test_kahn():
-    assert conversations.kahn([2, 0, 1], [5, 9, 7]) == ([0, 1, 2], 0)
-    assert conversations.kahn([0, 2, 3], [1, 1, 1]) == ([0], 2)
+    assert conversations.kahn([2, 0, 1], [1, -1, 0], [5, 9, 7])[0] == [0, 1, 2]
+    assert conversations.kahn([0, 2, 3], [-1, 1, 2], [1, 1, 1])[0] == [0]
+    order, home, waits = conversations.kahn([256, 300, 301, 302], [255, 256, 256, 301], [1, 9, 4, 2])
+    assert order == [256, 301, 300, 302] and home[302] == (256, 2) and waits == {256: 255}
 
 
 def test_rebuilt_order(spark):
     df = spark.createDataFrame([("d", "d::t_1", "T", " a  b ", AT, 1, "z"), ("d", "d::t_0", "S", "q", None, 1, "z")], TURN)
     rows = conversations.rebuild(df, "dialogue_id", "turn_id", "role", "text", "sent_at").orderBy("turn_no").collect()
-    assert [tuple(r) for r in rows] == [("d", 0, "student", "q"), ("d", 1, "tutor", "a b")]
+    assert [tuple(r) for r in rows] == [("d", 0, 0, "student", "q"), ("d", 1, 1, "tutor", "a b")]
+
+
+REPLY = "dialogue_id string, turn_id string, role string, text string, sent_at timestamp, parent string, n string, p string"
+
+
+def replies(spark, *rows):
+    return spark.createDataFrame([(d, f"m{t}", r, x, AT + datetime.timedelta(seconds=s), None if p is None else f"m{p}", "x", "y") for d, t, r, x, s, p in rows], REPLY)
+
+
+def reply_order(df, d):
+    rows = conversations.rebuild(df, "dialogue_id", "turn_id", "role", "text", "sent_at", "parent").where(F.col("dialogue_id") == d).orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(len(rows)))
+    return [r.turn_no for r in rows]
+
+
+def test_reply_pointers_branches_ties_and_cycles(spark):
+    df = replies(
+        spark,
+        ("tree", 50, "s", "q", 9, None), ("tree", 7, "t", "late", 5, 50), ("tree", 9, "t", "early", 4, 50), ("tree", 3, "t", "tie", 5, 50), ("tree", 1, "t", "end", 0, 7),
+        ("ring", 0, "s", "q", 0, None), ("ring", 1, "t", "a", 1, 0), ("ring", 2, "s", "q", 2, 3), ("ring", 3, "t", "a", 3, 2),
+        ("lost", 0, "s", "q", 0, None), ("lost", 5, "t", "a", 1, 4), ("two", 0, "s", "q", 0, None), ("two", 1, "t", "a", 1, 0), ("two", 1, "t", "a", 1, 2), ("two", 2, "t", "a", 1, 0),
+        ("mute", 0, "s", "q", 0, None), ("mute", 1, "system", "x", 1, 0),
+    )
+    got = dict(tuple(r) for r in conversations.find_broken(df, "dialogue_id", "turn_id", "role", "text", "sent_at", "parent").collect())
+    assert got == {"ring": "broken", "lost": "broken", "two": "broken", "mute": "missing_reply"}
+    assert reply_order(df, "tree") == [50, 9, 3, 7, 1]  # timestamps decide among siblings, numbers among equal timestamps
+
+
+def test_reply_pointers_across_blocks(spark):
+    rng = random.Random(4)
+    numbers = rng.sample(range(5000), 700)  # a chain in random numbers crosses blocks at every step
+    chain = [("d", n, "s" if k % 2 == 0 else "t", "x", 1000 - k, numbers[k - 1] if k else None) for k, n in enumerate(numbers)]
+    assert reply_order(replies(spark, *chain), "d") == numbers
+    ring = [*chain[:300], ("d", numbers[300], "s", "x", 0, numbers[699]), *chain[301:]]
+    df = replies(spark, *ring)
+    assert [tuple(r) for r in conversations.find_broken(df, "dialogue_id", "turn_id", "role", "text", "sent_at", "parent").collect()] == [("d", "broken")]
+
+
+def test_reports_combine_over_many_blocks(spark):
+    size = conversations.BLOCK * conversations.BLOCK + 300
+    df = spark.range(size).selectExpr("'d' AS dialogue_id", "concat('d::t_', id) AS turn_id", "if(id % 2 = 0, 's', 't') AS role", "'x' AS text", "timestamp'2026-01-01' AS sent_at")
+    assert conversations.find_broken(df, "dialogue_id", "turn_id", "role", "text", "sent_at").count() == 0
+    mute = df.withColumn("text", F.when(F.col("turn_id") != f"d::t_{size // 2 * 2 - 301}", "x"))
+    assert [r.defect_type for r in conversations.find_broken(mute, "dialogue_id", "turn_id", "role", "text", "sent_at").collect()] == ["missing_reply"]
 
 
 # ---- packing ------------------------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """DuckDB statements that compute what the queries of this subpackage compute, where SQL can."""
 
+from tutorgrain.llm.conversations import SPEAKERS
+
 P1_FOUND = """
 WITH first_rows AS (
   SELECT exchange_id, unit_id, best_score, fused_rank,
@@ -27,9 +29,8 @@ WITH named AS (
          nullif(trim(regexp_replace(text, '[\s\x{00A0}\x{1680}\x{2000}-\x{200D}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}]+', ' ', 'g')), '') AS body
   FROM turn_rows
 ), said AS (
-  SELECT d, n, body, CASE WHEN name IN ('student','learner','pupil','user','human','s') THEN 'student'
-    WHEN name IN ('tutor','teacher','assistant','ai','bot','model','t') THEN 'tutor'
-    WHEN name = 'system' THEN 'system' ELSE '?' END AS who
+  SELECT d, n, body, CASE WHEN name IN (@student) THEN 'student' WHEN name IN (@tutor) THEN 'tutor'
+    WHEN name IN (@system) THEN 'system' ELSE '?' END AS who
   FROM named WHERE d IS NOT NULL
 ), turns AS (
   SELECT d, n, min(who) AS who, min(body) AS body,
@@ -50,12 +51,14 @@ WITH named AS (
   FROM turns t LEFT JOIN unanswered u ON u.d = t.d GROUP BY t.d
 )
 """
+for _who, _names in SPEAKERS.items():
+    _TURNS = _TURNS.replace(f"@{_who}", ",".join(f"'{n}'" for n in _names.split()))
 
 P6_FOUND = _TURNS + "SELECT d AS dialogue_id, defect AS defect_type FROM judged WHERE defect IS NOT NULL"
 
 P6_TURNS = (
     _TURNS
-    + "SELECT t.d AS dialogue_id, t.n AS turn_no, t.who AS speaker, t.body AS text FROM turns t JOIN judged j ON j.d = t.d WHERE j.defect IS NULL"
+    + "SELECT t.d AS dialogue_id, row_number() OVER (PARTITION BY t.d ORDER BY t.n) - 1 AS position, t.n AS turn_no, t.who AS speaker, t.body AS text FROM turns t JOIN judged j ON j.d = t.d WHERE j.defect IS NULL"
 )
 
 #: What holds of any right packing; the packing itself has no single right answer.
