@@ -401,20 +401,34 @@ def test_small_limits_and_sentences_as_long_as_the_limit(limit, overlap):
         splitting.cut(text, enc, 10, 7)
 
 
+def best_cost(count, penalty, limit, overlap):
+    """The cost of the best cuts by a plain loop over all candidates."""
+    total, n = count[-1], len(count)
+    even = (total - overlap) / -(-(total - overlap) // (limit - overlap)) + overlap
+    start = [0] + [min((j for j in range(e + 1) if count[j] >= count[e] - overlap and (j < e or count[max(0, e - 1)] < count[e] - overlap)), key=lambda j: (min(penalty[j], 8.0), j)) for e in range(1, n)]
+    cost = [0.0] + [float("inf")] * (n - 1)
+    for j in range(1, n):
+        for i in range(j - 1, -1, -1):
+            size = count[j] - count[start[i]]
+            if size > limit + overlap:
+                break
+            if size <= limit:
+                cost[j] = min(cost[j], cost[i] + splitting.BALANCE * ((size - even) / even) ** 2 + penalty[j] + splitting.PIECE_COST)
+    return cost[-1]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_cuts_are_the_best_over_all_candidates(seed):
     rng = random.Random(seed)
     enc = encoding(vocabulary())
-    text = "".join(rng.choice(["word ", "slope, ", "end. ", "row\n", "Next para.\n\n", "longerword ", "x" * 90 + " "]) if rng.random() < 0.3 else "word " for _ in range(900))
-    chars, count, kinds = splitting.candidates(text, enc, 48)
-    penalty = splitting.np.array(splitting.PENALTY)[kinds]
-    penalty[-1] = 0.0
-    best, way = splitting._program(splitting.np.arange(len(chars)), count, penalty, 128, 16, int(count[-1]))
-    pieces = splitting._cut(text, enc, 128, 16)
-    at = {int(c): k for k, c in enumerate(chars)}
-    even = (count[-1] - 16) / splitting.np.ceil((count[-1] - 16) / 112) + 16
-    cost = sum(splitting.PIECE_COST + penalty[at[b]] + splitting.BALANCE * ((count[at[b]] - count[at[a]] - even) / even) ** 2 for a, b, *_ in pieces)
-    assert abs(cost - best) < 1e-9
+    text = "".join(rng.choice(["word ", "slope, ", "end. ", "row\n", "Next para.\n\n", "longerword ", "x" * 90 + " "]) if rng.random() < 0.3 else "word " for _ in range(600))
+    for limit, overlap in ((128, 16), (300, 0), (64, 20)):
+        _, count, kinds = splitting.candidates(text, enc, min(48, (limit - overlap) // 2))
+        penalty = splitting.np.array(splitting.PENALTY)[kinds]
+        penalty[-1] = 0.0
+        got, way = splitting._program(count, penalty, limit, overlap)
+        assert abs(got - best_cost(count.tolist(), penalty.tolist(), limit, overlap)) < 1e-9
+        assert way[0][0] == 0 and way[-1][1] == len(count) - 1
 
 
 def test_split_table(spark):

@@ -3,10 +3,10 @@
 Candidate cuts are the starts of the tokenizer's words, each with a penalty for its kind: heading, turn, paragraph, list
 entry, line, sentence, clause, word, or inside a word where a single word is very long. A dynamic program over the
 candidates picks the cuts that minimise penalties plus size imbalance, subject to the size limit with the overlap
-counted in. It runs over the mild candidates first; their best cost then rules out every other candidate that costs
-more than that even if all else were free, and it runs again with those that are left, so the cuts are the best over all
-candidates. Token counts add up at these candidates, so a piece's size is a difference of prefix sums; every piece is
-counted again at the end.
+counted in. It goes by the number of pieces: the k-th cut of K pieces lies where k pieces can reach and K - k pieces can
+reach the end, so its layers are narrow bands of candidates, and more pieces are tried until even mild and even cuts
+could not beat the best found. Token counts add up at the candidates, so a piece's size is a difference of prefix sums;
+every piece is counted again at the end.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ _CLAUSE = regex.compile(r"[,;:—–)][\"'”’»]*$")
 
 
 _LOOK, _ENDS, _PAUSES = frozenset(" \t\r\n\v\f"), frozenset(".!?…。！？\"'”’»)]*_"), frozenset(",;:—–")
-STAGES = (5, 7, 8)  # kinds up to these join the program one after the other
 
 
 def candidates(text: str, enc, long_word: int = LONG_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,18 +121,7 @@ def _cut(text: str, enc, limit: int, overlap: int) -> list[tuple[int, int, int,
         return [(0, len(text), 0, "end")]
     penalty = np.array(PENALTY)[kinds]
     penalty[last] = 0.0
-    # the least that a cut at a candidate can cost, with as few pieces as may be and the mildest cuts elsewhere
-    pieces = -(-count // limit) + -(-(total - count) // limit)
-    least = penalty + PIECE_COST * pieces + penalty[1:last].min() * np.maximum(0, pieces - 2)
-    best, kept, found = np.inf, np.zeros(last + 1, dtype=bool), None
-    kept[0] = kept[last] = True
-    for stage in STAGES:
-        more = (kinds <= stage) & (least < best) & ~kept
-        if found is None or more.any():
-            kept |= more
-            cost, way = _program(np.flatnonzero(kept), count, penalty, limit, overlap, total)
-            if cost < best:
-                best, found = cost, way
+    cost, found = _program(count, penalty, limit, overlap)
     if found is None:
         raise ValueError("a text cannot be cut below the limit")
     out, previous = [], 0
@@ -143,42 +131,67 @@ def _cut(text: str, enc, limit: int, overlap: int) -> list[tuple[int, int, int,
     return out
 
 
-def _program(end: np.ndarray, count: np.ndarray, penalty: np.ndarray, limit: int, overlap: int, total: int) -> tuple[float, list[tuple[int, int]] | None]:
-    """(cost, (start, end) of the pieces as candidates) of the best cuts at the given ends."""
-    penalty_of, count_of = penalty[end], count[end]
-    # where the next piece starts if one ends at an end: the mildest candidate within the overlap, the farthest of equals
-    start = end.copy()
-    low = np.searchsorted(count, count_of - overlap, side="left")
-    for k in range(1, len(end) - 1):
-        if low[k] < end[k]:
-            start[k] = low[k] + int(np.argmin(np.minimum(penalty[low[k] : end[k]], 8.0)))
-    start[0] = 0
+def _starts(count: np.ndarray, penalty: np.ndarray, overlap: int) -> np.ndarray:
+    """Where the next piece starts if one ends at a candidate: the mildest one within the overlap, the farthest of equals."""
+    at = np.arange(len(count))
+    low = np.searchsorted(count, count - overlap, side="left")
+    start, open_ = at.copy(), (low < at)
+    open_[0] = open_[-1] = False
+    mild = np.minimum(penalty, 8.0)
+    for level in np.unique(mild):
+        of_level = np.append(np.flatnonzero(mild == level), len(count))
+        nearest = of_level[np.searchsorted(of_level, low, side="left")]
+        hit = open_ & (nearest < at)
+        start[hit] = nearest[hit]
+        open_ &= ~hit
+    return start
+
+
+def _program(count: np.ndarray, penalty: np.ndarray, limit: int, overlap: int) -> tuple[float, list[tuple[int, int]] | None]:
+    """(cost, (start, end) of the pieces as candidates) of the best cuts."""
+    total, last = int(count[-1]), len(count) - 1
+    start = _starts(count, penalty, overlap)
     begins = count[start]
     even = (total - overlap) / np.ceil((total - overlap) / (limit - overlap)) + overlap
-    cost = np.full(len(end), np.inf)
-    cost[0] = 0.0
-    back = np.zeros(len(end), dtype=np.int64)
-    first = np.searchsorted(count_of, count_of - limit, side="left")
-    for j in range(1, len(end)):
-        a = first[j]
-        if a == j:
-            continue
-        size = count_of[j] - begins[a:j]
-        ways = cost[a:j] + BALANCE * ((size - even) / even) ** 2
-        ways[size > limit] = np.inf
-        k = int(np.argmin(ways))
-        cost[j] = ways[k] + penalty_of[j] + PIECE_COST
-        back[j] = a + k
-    if not np.isfinite(cost[-1]):
-        return np.inf, None
-    steps = [len(end) - 1]
-    while back[steps[-1]] > 0:
-        steps.append(int(back[steps[-1]]))
-    out, previous = [], 0
-    for j in reversed(steps):
-        out.append((int(start[previous]) if previous else 0, int(end[j])))
-        previous = j
-    return float(cost[-1]), out
+    mildest = penalty[1:last].min() if last > 1 else 0.0
+    best, found, pieces = np.inf, None, max(1, -(-total // limit))
+    while pieces <= last:
+        # no cost of so many pieces is below: their mean size lies between these bounds
+        few, many = total / pieces, (total + (pieces - 1) * overlap) / pieces
+        off = max(0.0, few - even, even - many) / even
+        least = PIECE_COST * pieces + mildest * (pieces - 1) + BALANCE * pieces * off * off
+        if least >= best and (many <= even or PIECE_COST * pieces + mildest * (pieces - 1) >= best):
+            break
+        cost, ends = np.zeros(1), [np.zeros(1, dtype=np.int64)]
+        back = []
+        for k in range(1, pieces + 1):
+            low, high = np.searchsorted(count, total - (pieces - k) * limit, side="left"), np.searchsorted(count, k * limit, side="right")
+            here = np.arange(max(1, low), min(high, last)) if k < pieces else np.array([last])
+            before = ends[-1]
+            size = count[here][:, None] - begins[before][None, :]
+            ways = cost[None, :] + BALANCE * ((size - even) / even) ** 2
+            ways[(size > limit) | (here[:, None] <= before[None, :])] = np.inf
+            if not ways.size:
+                break
+            pick = np.argmin(ways, axis=1)
+            cost = ways[np.arange(len(here)), pick] + penalty[here] + PIECE_COST
+            reached = np.isfinite(cost)
+            cost, here, pick = cost[reached], here[reached], pick[reached]
+            if not len(here):
+                break
+            ends.append(here)
+            back.append(pick)
+        else:
+            if cost[0] < best:
+                best, k, way = float(cost[0]), 0, []
+                for layer in range(pieces, 0, -1):
+                    way.append(int(ends[layer][k]))
+                    k = back[layer - 1][k]
+                way.append(0)
+                way.reverse()
+                found = [(int(start[a]) if a else 0, b) for a, b in zip(way, way[1:])]
+        pieces += 1
+    return best, found
 
 
 def split_oversized(
