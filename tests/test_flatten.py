@@ -109,3 +109,30 @@ def test_events_reject_what_json_rejects():
         except ValueError:
             continue
         raise AssertionError(text)
+
+
+def test_verdicts_of_segments(spark):
+    from tutorgrain.plans.judging import _verdicts
+
+    record = json.dumps({"segments": [
+        {"errors": [{"severity": "minor"}, {}]}, {"errors": [{"severity": None}, {"severity": "Material"}]}, {"errors": []}, {}, None,
+        {"errors": json.dumps({"severity": "material"})}, {"errors": [None]},
+    ]})
+    got = sorted((r.segment_no, r.verdict, r.material) for r in _verdicts(found(spark, record)).collect())
+    assert got == [("0", "minor_issue", 0), ("1", "contradicted", 1), ("2", "supported", 0), ("3", "supported", 0), ("4", "supported", 0), ("5", "contradicted", 1), ("6", "minor_issue", 0)]
+    df = spark.createDataFrame([(1, record, "", ""), (1, '{"segments": [{}]}', "", "")], SCHEMA)
+    rows = [r.segment_no for r in _verdicts(triples(df, "record_id", "record", discover(df, "record", MAPS, LISTS))).collect()]
+    assert sorted(rows) == ["0", "0", "1", "2", "3", "4", "5", "6"]
+
+
+def test_error_queries_count_every_error(spark):
+    from tutorgrain.plans import checking, judging, nested
+
+    d = "/root/testdata/sf0.001"
+    errors = nested.QUERIES["p3_errors"](spark, d)
+    n = errors.count()
+    assert n > 0 and sum(r.n for r in checking.definition_conflicts(spark, d).collect()) == n
+    codes = {r.code: r.n for r in checking.factuality_contract(spark, d).collect()}
+    material = errors.where("lower(severity) = 'material'").count()
+    assert codes["ok"] <= n and sum(codes.values()) >= n
+    assert sum(r.material for r in judging.factuality_verdicts(spark, d).collect()) == material

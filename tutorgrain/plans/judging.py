@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from tutorgrain.operators import aggregate as A
 from tutorgrain.operators import assign as G
 from tutorgrain.operators import contracts as V
-from tutorgrain.operators import flatten as N
 from tutorgrain.operators import packets as P
 from tutorgrain.operators import retrieval as R
-from tutorgrain.plans import dialogue, search
+from tutorgrain.plans import dialogue, nested, search
 from tutorgrain.session import table
 
 
@@ -197,12 +196,19 @@ def _quotes_found(spark, d, v: DataFrame) -> DataFrame:
 
 
 def factuality_verdicts(spark, d):
-    t = N.triples(table(spark, d, "factuality_runs"), "record_id", "record", N.FACTUALITY)
-    err = N.child_table(t, "error", {"severity": "severity"}).groupBy("record_id", "parent_key").agg(F.collect_list(F.coalesce("severity", F.lit("minor"))).alias("s"))
-    seg = N.child_table(t, "segment", {"segment_id": "segment_id"}).select("record_id", F.col("child_key").alias("parent_key"))
-    j = seg.join(err, ["record_id", "parent_key"], "left")
-    s = F.coalesce("s", F.array().cast("array<string>"))
-    return j.select("record_id", F.col("parent_key").alias("segment_no"), V.factuality_verdict(s).alias("verdict"), F.size(F.filter(s, lambda x: F.lower(x) == "material")).alias("material"))
+    return _verdicts(nested._triples(spark, d))
+
+
+def _verdicts(found: DataFrame) -> DataFrame:
+    """One row per segment of every record: triples of its errors meet its own, so nothing is joined or read twice."""
+    error = F.col("ancestor") == nested.ERRORS
+    segment = F.when(error, F.col("parent_key")).otherwise(F.col("child_key")).alias("segment_no")
+    material = error & (F.col("path") == "severity") & (F.lower("value") == "material")
+    own = found.where(F.col("ancestor").isin(nested.SEGMENTS, nested.ERRORS)).groupBy("record_no", "record_id", segment)
+    rows = own.agg(F.count_if(material).cast("int").alias("material"), F.count_if(error & (F.col("path") == "")).cast("int").alias("n"))
+    # an error without a severity is a minor one
+    s = F.concat(F.array_repeat(F.lit("material"), F.col("material")), F.array_repeat(F.lit("minor"), F.col("n") - F.col("material")))
+    return rows.select("record_id", "segment_no", V.factuality_verdict(s).alias("verdict"), "material")
 
 
 def lcs_overlap(spark, d):

@@ -14,6 +14,7 @@ _DRIFT = ("corpus", "file_name", "written_at", "payload")
 #: What is known of the factuality records: keys of this object are data, and these places repeat even where a value is single.
 MAPS = ("id_mapping.ledger_to_packet",)
 LISTS = ("segments", "segments[].raw_row.contract_errors", "segments[].errors", "segments[].errors[].evidence")
+SEGMENTS, ERRORS = "segments[]", "segments[].errors[]"
 KINDS = {
     "id_mapping.ledger_to_packet{}": "ledger_pair", "segments[]": "segment", "segments[].raw_row.contract_errors[]": "contract_error",
     "segments[].errors[]": "error", "segments[].errors[].evidence[]": "evidence",
