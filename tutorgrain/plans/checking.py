@@ -128,7 +128,7 @@ def segment_units(spark, d):
 
 
 def factuality_contract(spark, d):
-    e = N.child_table(nested._triples(spark, d, True), "error", {c: c for c in ("tutor_quote", "what_is_wrong", "correct_version", "severity")})
+    e = N.child_table(nested._triples(spark, d), nested.ERRORS, {c: c for c in ("tutor_quote", "what_is_wrong", "correct_version", "severity")})
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     known = F.coalesce(F.lower("severity").isin("material", "minor"), F.lit(False))
     errors = V.codes((blank("tutor_quote"), "tutor_quote:empty"), (blank("what_is_wrong"), "what_is_wrong:empty"), (blank("correct_version"), "correct_version:empty"), (~known, "severity:invalid"))
