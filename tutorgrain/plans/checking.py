@@ -68,7 +68,7 @@ def candidate_diagnostic(spark, d):
 
 
 def definition_conflicts(spark, d):
-    t = N.child_table(nested._triples(spark, d, True), "error", {"claim": "tutor_quote", "definition": "what_is_wrong", "correction": "correct_version"})
+    t = N.child_table(nested._triples(spark, d), nested.ERRORS, {"claim": "tutor_quote", "definition": "what_is_wrong", "correction": "correct_version"})
     return C.conflict_checks(t, "claim", "definition", "correction").groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
 
 
