@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -431,6 +432,17 @@ def test_cuts_are_the_best_over_all_candidates(seed):
         assert way[0][0] == 0 and way[-1][1] == len(count) - 1
 
 
+def test_long_texts_need_memory_for_a_window_only():
+    count = splitting.np.arange(20_001)
+    penalty = splitting.np.array([8.0, 8.0, 8.0, 1.5] * 5_000 + [0.0])
+    tracemalloc.start()
+    cost, way = splitting._program(count, penalty, 512, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and cost < float("inf")
+    assert way[0][0] == 0 and way[-1][1] == 20_000 and all(a < c <= b < d and d - c <= 512 for (a, b), (c, d) in zip(way, way[1:]))
+
+
 def test_split_table(spark):
     df = spark.createDataFrame([(1, "word " * 700, 1), (2, "short", 1), (3, None, 1), (4, "", 1), (5, "word " * 700, 1)], "doc_id long, text string, piece_no int")
     rows = splitting.split_oversized(df).collect()

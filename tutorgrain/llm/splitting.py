@@ -3,10 +3,9 @@
 Candidate cuts are the starts of the tokenizer's words, each with a penalty for its kind: heading, turn, paragraph, list
 entry, line, sentence, clause, word, or inside a word where a single word is very long. A dynamic program over the
 candidates picks the cuts that minimise penalties plus size imbalance, subject to the size limit with the overlap
-counted in. It goes by the number of pieces: the k-th cut of K pieces lies where k pieces can reach and K - k pieces can
-reach the end, so its layers are narrow bands of candidates, and more pieces are tried until even mild and even cuts
-could not beat the best found. Token counts add up at the candidates, so a piece's size is a difference of prefix sums;
-every piece is counted again at the end.
+counted in. A candidate's cost is the least over the candidates at most a limit before it, so the work and the memory
+grow with the text's length and not with its square. Token counts add up at the candidates, so a piece's size is a
+difference of prefix sums; every piece is counted again at the end.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ PENALTY = (0.0, 0.3, 0.6, 0.8, 1.0, 1.5, 4.0, 8.0, 40.0)
 BALANCE = 6.0  # weight of a piece's squared relative distance from the even size
 PIECE_COST = 3.0
 LONG_WORD = 48  # tokens from which a single word gets candidates inside, or half of what the limit leaves beside the overlap
+BLOCK = 64  # candidates that the program takes at once
 _WORDS = regex.compile(PATTERN)
 _HEADING = regex.compile(r"(?:#{1,6}\s|<h[1-6]\b|={3,}|\*\*[^*\n]{1,80}\*\*\s*$)", regex.M)
 _TURN = regex.compile(r"[*_>\[\s]{0,4}\p{Lu}[\p{L}_ ]{0,20}\]?[*_]{0,2}\s?:[*_]{0,2}\s")
@@ -148,50 +148,54 @@ def _starts(count: np.ndarray, penalty: np.ndarray, overlap: int) -> np.ndarray:
 
 
 def _program(count: np.ndarray, penalty: np.ndarray, limit: int, overlap: int) -> tuple[float, list[tuple[int, int]] | None]:
-    """(cost, (start, end) of the pieces as candidates) of the best cuts."""
+    """(cost, (start, end) of the pieces as candidates) of the best cuts.
+
+    Candidates come in blocks: the pieces that begin before a block are tried for all its ends at once. A piece inside a
+    block is shorter than the block, and is tried, end by end, only where such a piece could be cheaper.
+    """
     total, last = int(count[-1]), len(count) - 1
     start = _starts(count, penalty, overlap)
     begins = count[start]
     even = (total - overlap) / np.ceil((total - overlap) / (limit - overlap)) + overlap
-    mildest = penalty[1:last].min() if last > 1 else 0.0
-    best, found, pieces = np.inf, None, max(1, -(-total // limit))
-    while pieces <= last:
-        # no cost of so many pieces is below: their mean size lies between these bounds
-        few, many = total / pieces, (total + (pieces - 1) * overlap) / pieces
-        off = max(0.0, few - even, even - many) / even
-        least = PIECE_COST * pieces + mildest * (pieces - 1) + BALANCE * pieces * off * off
-        if least >= best and (many <= even or PIECE_COST * pieces + mildest * (pieces - 1) >= best):
-            break
-        cost, ends = np.zeros(1), [np.zeros(1, dtype=np.int64)]
-        back = []
-        for k in range(1, pieces + 1):
-            low, high = np.searchsorted(count, total - (pieces - k) * limit, side="left"), np.searchsorted(count, k * limit, side="right")
-            here = np.arange(max(1, low), min(high, last)) if k < pieces else np.array([last])
-            before = ends[-1]
-            size = count[here][:, None] - begins[before][None, :]
-            ways = cost[None, :] + BALANCE * ((size - even) / even) ** 2
-            ways[(size > limit) | (here[:, None] <= before[None, :])] = np.inf
-            if not ways.size:
-                break
-            pick = np.argmin(ways, axis=1)
-            cost = ways[np.arange(len(here)), pick] + penalty[here] + PIECE_COST
-            reached = np.isfinite(cost)
-            cost, here, pick = cost[reached], here[reached], pick[reached]
-            if not len(here):
-                break
-            ends.append(here)
-            back.append(pick)
-        else:
-            if cost[0] < best:
-                best, k, way = float(cost[0]), 0, []
-                for layer in range(pieces, 0, -1):
-                    way.append(int(ends[layer][k]))
-                    k = back[layer - 1][k]
-                way.append(0)
-                way.reverse()
-                found = [(int(start[a]) if a else 0, b) for a, b in zip(way, way[1:])]
-        pieces += 1
-    return best, found
+    cost, back = np.full(last + 1, np.inf), np.zeros(last + 1, dtype=np.int64)
+    cost[0] = 0.0
+    # a piece that begins at a candidate is at least as long as the way from it to its end
+    first = np.searchsorted(count, count - limit, side="left")
+
+    def ways(before: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = count[ends][:, None] - begins[before]
+        out = (size - even) / even
+        out *= out
+        out *= BALANCE
+        out += cost[before]
+        out[size > limit] = np.inf
+        return out
+
+    for a in range(1, last + 1, BLOCK):
+        ends = np.arange(a, min(a + BLOCK, last + 1))
+        before = first[a] + np.flatnonzero(np.isfinite(cost[first[a] : a]))
+        least = np.full(len(ends), np.inf)
+        if len(before):
+            tried = ways(before, ends)
+            pick = np.argmin(tried, axis=1)
+            least = tried[np.arange(len(ends)), pick]
+            back[ends] = before[pick]
+        cost[ends] = least + penalty[ends] + PIECE_COST
+        longest = min(limit, count[ends[-1]] - begins[ends].min())
+        off = max(0.0, even - longest) / even
+        if cost[ends].min() + BALANCE * off * off < least.max():
+            for k in range(1, len(ends)):
+                inside = ways(ends[:k], ends[k : k + 1])[0]
+                best = int(np.argmin(inside))
+                if inside[best] < least[k]:
+                    cost[ends[k]], back[ends[k]] = inside[best] + penalty[ends[k]] + PIECE_COST, ends[best]
+    if not np.isfinite(cost[last]):
+        return np.inf, None
+    way = [last]
+    while way[-1]:
+        way.append(int(back[way[-1]]))
+    way.reverse()
+    return float(cost[last]), [(int(start[i]) if i else 0, j) for i, j in zip(way, way[1:])]
 
 
 def split_oversized(
