@@ -41,6 +41,20 @@ def test_exact_tests_match_enumeration(spark):
         assert r.f == pytest.approx(min(1.0, sum(p(x) for x in xs if p(x) <= p(r.a) * (1 + 1e-9))), rel=1e-9)
 
 
+def test_fisher_of_large_counts(spark):
+    def want(a, b, c, d):
+        f = [math.lgamma(x + 1) for x in range(a + b + c + d + 1)]
+        p = lambda x: f[a + b] - f[x] - f[a + b - x] + f[c + d] - f[a + c - x] - f[c + d - a - c + x] + f[a + c] + f[b + d] - f[a + b + c + d]
+        xs = range(max(0, a - d), min(a + b, a + c) + 1)
+        return sum(math.exp(p(x)) for x in xs if p(x) <= p(a) + 1e-9)
+
+    rows = [(1900, 58_000, 3900, 116_000), (30_000, 30_100, 30_050, 30_000), (40, 90_000, 10, 5), (0, 5, 7, 0)]
+    df = spark.createDataFrame([*rows, (None, 1, 1, 1)], "a int, b int, c int, d int")
+    got = {r.a: r.f for r in df.select("a", S.fisher_exact(*map(F.col, "abcd")).alias("f")).collect()}
+    assert got.pop(None) is None
+    assert got == {r[0]: pytest.approx(want(*r), rel=1e-6) for r in rows}
+
+
 def test_jackknife_equals_leave_one_out(spark):
     pairs = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "y"), ("b", "y"), ("b", "x"), ("c", "z")]
 

@@ -8,9 +8,10 @@ on the distinct values and the replicates, not on the rows; no row is repeated b
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,16 +207,47 @@ def mcnemar_exact(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+FISHER_CHUNK = 1_000_000  # tables a step
+
+
+def _log_ratios(r1: int, r2: int, c1: int, x: int, step: int) -> Iterator[np.ndarray]:
+    """ln P(x + step k) - ln P(x) for k = 1, 2, ... in chunks, until what follows adds nothing to a sum of them and 1."""
+    last, reached, top = (min(r1, c1) if step > 0 else max(0, c1 - r2)), 0.0, 0.0
+    while x != last:
+        at = np.arange(x, x + step * min(FISHER_CHUNK, abs(last - x)), step, dtype=np.float64)
+        if step > 0:
+            ratio = np.log((r1 - at) * (c1 - at)) - np.log((at + 1) * (r2 - c1 + at + 1))
+        else:
+            ratio = np.log(at * (r2 - c1 + at)) - np.log((r1 - at + 1) * (c1 - at + 1))
+        steps = reached + np.cumsum(ratio)
+        yield steps
+        x, reached, top = x + step * len(at), float(steps[-1]), max(top, float(steps.max()))
+        if reached < top - 800 and ratio[-1] < 0:  # ratios only fall, and exp(-800) is 0
+            return
+
+
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided exact p of a 2x2 table: all tables at most as likely as the observed one."""
-    r1, r2, c1 = (a + b).cast("int"), (c + d).cast("int"), (a + c).cast("int")
+    """Two-sided exact p of a 2x2 table: all tables at most as likely as the observed one.
 
-    def log_p(x: Column) -> Column:
-        return _log_choose(r1, x) + _log_choose(r2, c1 - x) - _log_choose(r1 + r2, c1)
+    Each table's likelihood follows from its neighbour's, outward from the observed one, so the work grows with the
+    counts and not with their square.
+    """
 
-    seen = log_p(a.cast("int"))
-    tables = F.sequence(F.greatest(F.lit(0), c1 - r2), F.least(r1, c1))
-    return F.least(F.lit(1.0), F.aggregate(tables, F.lit(0.0), lambda s, x: s + F.when(log_p(x) <= seen + 1e-9, F.exp(log_p(x))).otherwise(0.0)))
+    def one(a: int, b: int, c: int, d: int) -> float:
+        r1, r2, c1 = a + b, c + d, a + c
+        top = max((float(x.max()) for s in (1, -1) for x in _log_ratios(r1, r2, c1, a, s)), default=0.0)
+        top = max(top, 0.0)
+        total = hit = np.exp(-top)
+        for step in (1, -1):
+            for x in _log_ratios(r1, r2, c1, a, step):
+                p = np.exp(x - top)
+                total, hit = total + p.sum(), hit + p[x <= 1e-9].sum()
+        return min(1.0, float(hit / total))
+
+    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(w + x + y + z) else one(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)], dtype="float64")
+
+    return F.pandas_udf(p, "double")(*[x.cast("bigint") for x in (a, b, c, d)])
 
 
 BATCHES = 16
