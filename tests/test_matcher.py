@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tutorgrain.functions.text import FUNCTION_WORDS, NUMBER_WORDS, PEDAGOGY_WORDS, RETRIEVAL_STOPWORDS
 from tutorgrain.operators import matcher as M
@@ -166,3 +167,28 @@ def test_rerank_edges(spark):
     pool = spark.createDataFrame([("one", "u", 0.3, 0.9), ("same", "u", 0.5, 1.0), ("same", "v", 0.5, 1.0)], "q string, unit_id string, s double, ce double")
     assert {(r.q, r.unit_id): r.reranked for r in R.rerank(pool, "q", "s", "ce").collect()} == {("one", "u"): 0.3, ("same", "u"): 0.5, ("same", "v"): 0.5}
     assert R.final_pool(pool.limit(0), "q", "unit_id", "s").count() == 0
+
+
+def test_picked_ranks_equal_joined_tables_and_move_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    vocabulary = ["slope", "slopes", "matrix", "basis", "k-means", "kernel", "row", "rank", "the", "a", "Ünïcode", "x"]
+    phrase = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    units = [(f"u{i:02d}", phrase(2), phrase(5), [phrase(2)], ([phrase(2), None], [phrase(1)], [phrase(2)])) for i in range(30)]
+    units += [("v1", *units[3][1:]), ("v2", None, None, None, None)]  # equal units tie, an empty one never scores
+    lib = spark.createDataFrame(units, LIBRARY)
+    texts = [(f"q{i}", phrase(rng.randint(1, 9)), phrase(rng.randint(0, 9))) for i in range(40)] + [("none", None, None), ("blank", "  ", ""), ("odd", "the \t zzz qqq", "slope\nslope slope"), ("long", phrase(3000), "slope " * 2000)]
+    q = spark.createDataFrame(texts, "q string, student_text string, tutor_text string").withColumn("combined_text", F.concat_ws(" ", "student_text", "tutor_text"))
+    made = {
+        "bm25": lambda: R.bm25_top(q, "q", "combined_text", lib, 7), "char": lambda: R.char_top(q, "q", "student_text", lib, 7),
+        "fused": lambda: R.fused_top(q, "q", "combined_text", lib, 12, 5), "hybrid": lambda: R.hybrid_top(q, "q", lib, 8),
+    }
+    plain = lambda df: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for name, make in made.items():
+        df = make()
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+        with monkeypatch.context() as m:
+            m.setattr(R, "_indexes", lambda *_: None)
+            joined = make()
+        assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in joined.schema], name
+        got = plain(df)
+        assert got and got == plain(joined.select(df.columns)), name

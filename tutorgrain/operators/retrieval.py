@@ -6,10 +6,14 @@ it shares nothing. Postings and document frequencies are tables, so Spark decide
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from tutorgrain.functions import text as T
+from tutorgrain.operators import lexical as L
 
 # fixed values: weight and document-frequency ceiling of each field, and the constants of the scores
 FIELDS = {"canonical": (2.8, 0.65), "identity": (2.4, 0.65), "dialogue_forms": (1.6, 0.55), "topic": (1.0, 0.50), "support": (0.9, 0.50), "definition": (0.55, 0.45)}
@@ -97,11 +101,8 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.flatten(F.array(*[of(w, n) for n in range(low, high + 1)]))))
 
 
-def char_tfidf(queries: DataFrame, key: str, text: str, library: DataFrame) -> DataFrame:
-    """(key, unit_id, char_score, char_rank): cosine of character TF-IDF vectors, units with a positive score.
-
-    Smooth idf over the library, queries use the library's vocabulary only, both sides have unit length.
-    """
+def char_postings(library: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, idf), and (gram, unit_id, idf, u): the units' character TF-IDF vectors of unit length."""
     order = list(FIELDS)
     place = F.array_position(F.array(*map(F.lit, order)), F.col("field"))
     docs = library_fields(library).groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), F.array_join("phrases", " \n ").alias("x")))).alias("parts"))
@@ -112,16 +113,140 @@ def char_tfidf(queries: DataFrame, key: str, text: str, library: DataFrame) -> D
     idf = df.select("gram", (F.ln((1 + F.col("units")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = tf.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighted.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    units = weighted.join(norms, "unit_id").select("gram", "unit_id", (F.col("w") / F.col("norm")).alias("u"))
+    return idf, weighted.join(norms, "unit_id").select("gram", "unit_id", "idf", (F.col("w") / F.col("norm")).alias("u"))
+
+
+def char_tfidf(queries: DataFrame, key: str, text: str, library: DataFrame) -> DataFrame:
+    """(key, unit_id, char_score, char_rank): cosine of character TF-IDF vectors, units with a positive score.
+
+    Smooth idf over the library, queries use the library's vocabulary only, both sides have unit length.
+    """
+    idf, units = char_postings(library)
     asked = queries.select(F.col(key).alias("q"), F.explode(char_grams(F.col(text))).alias("gram")).groupBy("q", "gram").agg(F.count(F.lit(1)).alias("tf"))
     asked = asked.join(idf, "gram").withColumn("w", F.col("tf") * F.col("idf"))
     lengths = asked.groupBy("q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    scored = _by_query(asked, units, "gram").groupBy("q", "unit_id").agg(F.sum(F.col("w") * F.col("u")).alias("dot")).join(lengths, "q")
+    scored = _by_query(asked, units.drop("idf"), "gram").groupBy("q", "unit_id").agg(F.sum(F.col("w") * F.col("u")).alias("dot")).join(lengths, "q")
     scored = scored.select("q", "unit_id", F.round(F.col("dot") / F.col("norm"), 6).alias("char_score")).where("char_score > 0")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("char_score").desc(), "unit_id"))
     return scored.select(F.col("q").alias(key), "unit_id", "char_score", rank.alias("char_rank"))
 
 
+def _indexes(library: DataFrame, kinds: str) -> tuple[list, tuple[L.Index, ...]] | None:
+    """The sorted units and the indexes of a library: ``b`` for BM25, ``c`` for characters; None if it is a large one."""
+    units = library.select("unit_id").distinct().limit(L.INDEX_UNITS + 1).toArrow().column(0).to_pylist()
+    if len(units) > L.INDEX_UNITS or None in units:
+        return None
+    units.sort()
+    out = []
+    for kind in kinds:
+        rows = L.collected(postings(library).select("token", "unit_id", "gain") if kind == "b" else char_postings(library)[1])
+        if rows is None:
+            return None
+        out.append(L.index_of(rows, units, "token", "gain") if kind == "b" else L.index_of(rows, units, "gram", "u", "idf", (3, 4, 5)))
+    return units, tuple(out)
+
+
+def _query_words(text: str, kind: str) -> Column:
+    """A text's words for an index, divided by blanks."""
+    return T.match_normal(F.col(text), True) if kind == "b" else F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " ")
+
+
+def _cells(rank: np.ndarray, *values: np.ndarray) -> tuple:
+    """(texts, units, columns) of the places with a rank, in its order."""
+    text, unit = np.nonzero(rank)
+    order = np.lexsort((rank[text, unit], text))
+    text, unit = text[order], unit[order]
+    return text, unit, [pa.array(v[text, unit]) for v in (*values, rank)]
+
+
+def bm25_top(queries: DataFrame, key: str, text: str, library: DataFrame, k: int) -> DataFrame:
+    """The rows of :func:`bm25` up to rank ``k``; a small library's are picked where the texts lie."""
+    if (known := _indexes(library, "b")) is None:
+        return bm25(queries, key, text, library).where(F.col("bm25_rank") <= k)
+
+    def pick(indexes: tuple, words: list) -> tuple:
+        raw = indexes[0].score(words[0])
+        share = L.round_half_up(raw / np.maximum(raw.max(axis=1), 1e-300)[:, None], 6)
+        return _cells(L.first_ranks(raw, k), raw, share)
+
+    kinds = [("bm25_raw", types.DoubleType()), ("bm25_score", types.DoubleType()), ("bm25_rank", types.IntegerType())]
+    return L.rows_of(queries, key, [_query_words(text, "b")], library.schema["unit_id"], *known, pick, kinds)
+
+
+def char_top(queries: DataFrame, key: str, text: str, library: DataFrame, k: int) -> DataFrame:
+    """The rows of :func:`char_tfidf` up to rank ``k``; a small library's are picked where the texts lie."""
+    if (known := _indexes(library, "c")) is None:
+        return char_tfidf(queries, key, text, library).where(F.col("char_rank") <= k)
+
+    def pick(indexes: tuple, words: list) -> tuple:
+        score = indexes[0].score(words[0])
+        return _cells(L.first_ranks(score, k), score)
+
+    kinds = [("char_score", types.DoubleType()), ("char_rank", types.IntegerType())]
+    return L.rows_of(queries, key, [_query_words(text, "c")], library.schema["unit_id"], *known, pick, kinds)
+
+
+def fused_top(queries: DataFrame, key: str, text: str, library: DataFrame, cut: int, top: int, k: int = RRF_K) -> DataFrame:
+    """:func:`reciprocal_rank_fusion` of both indexes' first ``cut`` ranks, up to fused rank ``top``."""
+    if (known := _indexes(library, "bc")) is None:
+        b, c = bm25(queries, key, text, library).withColumnRenamed("bm25_rank", "rank"), char_tfidf(queries, key, text, library).withColumnRenamed("char_rank", "rank")
+        ranks = b.select(key, "unit_id", "rank").unionByName(c.select(key, "unit_id", "rank")).where(F.col("rank") <= cut)
+        return reciprocal_rank_fusion(ranks, key, k=k).where(F.col("fused_rank") <= top)
+
+    def pick(indexes: tuple, words: list) -> tuple:
+        ranks = [L.first_ranks(i.score(w), cut) for i, w in zip(indexes, words)]
+        parts = [np.where(r > 0, 1.0 / (k + r), 0.0) for r in ranks]
+        score = L.round_half_up(parts[0] + parts[1], 9)
+        count = (ranks[0] > 0).astype(np.int64) + (ranks[1] > 0)
+        best = np.minimum(*[np.where(r > 0, r, cut + 1) for r in ranks])
+        order = np.lexsort((best, -count, -score), axis=1)[:, :top]
+        fused = np.zeros(score.shape, dtype=np.int32)
+        np.put_along_axis(fused, order, np.arange(1, order.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
+        fused[count == 0] = 0
+        return _cells(fused, score, count, best.astype(np.int32))
+
+    kinds = [("rrf_score", types.DoubleType()), ("source_count", types.LongType()), ("best_rank", types.IntegerType()), ("fused_rank", types.IntegerType())]
+    return L.rows_of(queries, key, [_query_words(text, "b"), _query_words(text, "c")], library.schema["unit_id"], *known, pick, kinds)
+
+
+def hybrid_top(queries: DataFrame, key: str, library: DataFrame, top_k: int = 40) -> DataFrame:
+    """:func:`merge_views` of the texts' views ``student_text``, ``tutor_text`` and ``combined_text`` in both indexes."""
+    views = ("student", "tutor", "combined")
+    if (known := _indexes(library, "bc")) is None:
+        both = []
+        for index in (bm25, char_tfidf):
+            parts = [index(queries, key, f"{v}_text", library).withColumn("view", F.lit(v)) for v in views]
+            both.append(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+        return merge_views(*both, key, top_k)
+
+    def pick(indexes: tuple, words: list) -> tuple:
+        raw = [indexes[0].score(w) for w in words[:3]]
+        bs, bt, bc = [L.round_half_up(x / np.maximum(x.max(axis=1), 1e-300)[:, None], 6) for x in raw]
+        cs, ct, cc = char = [indexes[1].score(w) for w in words[3:]]
+        none = 2**30
+        # beyond top_k a rank only says that it is there: ranks of all positive scores, as the least of the views is shown
+        b_rank, c_rank = [np.minimum.reduce([np.where(r > 0, r, none) for r in (L.first_ranks(x, x.shape[1]) for x in of)]) for of in (raw, char)]
+        bm, ch = np.maximum.reduce([bs * 1.25, bt * 0.75, bc]), np.maximum.reduce([cs * 1.15, ct * 0.65, cc])
+        agree = (bm >= 0.20).astype(np.int32) + (ch >= 0.12) + ((bs >= 0.12) | (cs >= 0.08))
+        single = ((bm > 0) & (ch == 0)) | ((ch > 0) & (bm == 0))
+        hybrid = L.round_half_up((0.65 * bm + 0.35 * ch) * np.where(single & (agree <= 1), 0.70, 1.0), 6)
+        inside = np.minimum(b_rank, c_rank) <= top_k
+        order = np.lexsort((-agree, np.where(inside, -hybrid, np.inf)), axis=1)[:, :top_k]
+        rank = np.zeros(hybrid.shape, dtype=np.int32)
+        np.put_along_axis(rank, order, np.arange(1, order.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
+        rank[~inside] = 0
+        text, unit, columns = _cells(rank, bm, ch, hybrid, agree, b_rank, c_rank)
+        for i in (0, 1):
+            columns[i] = pa.array(L.round_half_up(columns[i].to_numpy(), 6))
+        for i in (4, 5):
+            x = columns[i].to_numpy()
+            columns[i] = pa.array(x.astype(np.int32), mask=x == none)
+        return text, unit, columns
+
+    kinds = [(n, types.DoubleType()) for n in ("bm25_score", "char_score", "hybrid_score")] + [(n, types.IntegerType()) for n in ("agreement", "bm25_rank", "char_rank", "hybrid_rank")]
+    return L.rows_of(queries, key, [_query_words(f"{v}_text", k) for k in "bc" for v in views], library.schema["unit_id"], *known, pick, kinds)
+
+
 def merge_views(bm25_rows: DataFrame, char_rows: DataFrame, key: str, top_k: int = 40) -> DataFrame:
     """The student, tutor and combined views of both indexes as one hybrid ranking.
 

@@ -21,23 +21,15 @@ def _library(spark, d) -> DataFrame:
 
 
 def bm25_topk(spark, d):
-    return R.bm25(_texts(spark, d), "exchange_id", "combined_text", _library(spark, d)).where("bm25_rank <= 10")
+    return R.bm25_top(_texts(spark, d), "exchange_id", "combined_text", _library(spark, d), 10)
 
 
 def char_tfidf_topk(spark, d):
-    return R.char_tfidf(_texts(spark, d), "exchange_id", "student_text", _library(spark, d)).where("char_rank <= 10")
-
-
-def _views(spark, d, index, **drop):
-    out = None
-    for view in ("student", "tutor", "combined"):
-        part = index(_texts(spark, d), "exchange_id", f"{view}_text", _library(spark, d)).withColumn("view", F.lit(view))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return R.char_top(_texts(spark, d), "exchange_id", "student_text", _library(spark, d), 10)
 
 
 def hybrid_views(spark, d):
-    return R.merge_views(_views(spark, d, R.bm25), _views(spark, d, R.char_tfidf), "exchange_id")
+    return R.hybrid_top(_texts(spark, d), "exchange_id", _library(spark, d))
 
 
 def _vectors(spark, d):
@@ -59,15 +51,13 @@ def dense_nn_accuracy(spark, d):
 
 def _lexical(spark, d):
     t, lib = _texts(spark, d), _library(spark, d)
-    b = R.bm25(t, "exchange_id", "combined_text", lib).where("bm25_rank <= 40").withColumnRenamed("bm25_rank", "rank")
-    c = R.char_tfidf(t, "exchange_id", "combined_text", lib).where("char_rank <= 40").withColumnRenamed("char_rank", "rank")
+    b = R.bm25_top(t, "exchange_id", "combined_text", lib, 40).withColumnRenamed("bm25_rank", "rank")
+    c = R.char_top(t, "exchange_id", "combined_text", lib, 40).withColumnRenamed("char_rank", "rank")
     return b, c
 
 
 def rrf_fuse(spark, d):
-    b, c = _lexical(spark, d)
-    ranks = b.select("exchange_id", "unit_id", "rank").unionByName(c.select("exchange_id", "unit_id", "rank"))
-    return R.reciprocal_rank_fusion(ranks, "exchange_id").where("fused_rank <= 10")
+    return R.fused_top(_texts(spark, d), "exchange_id", "combined_text", _library(spark, d), 40, 10)
 
 
 def _profile_ranks(spark, d, view):
