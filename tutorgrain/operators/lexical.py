@@ -71,31 +71,31 @@ class Index:
         """Scores (texts, units) of texts given as words, rounded to six places."""
         if self.used * self.n_units > CACHED or len(self.slots) > 500_000:
             self.forget()
-        slot, times, row = [], [], []
+        out = np.zeros((len(texts), self.n_units))
+        step, known = max(1, CELLS // self.n_units), self.slots
+        held, times, row = [], [], []
         for i, words in enumerate(texts):
-            for word, n in Counter(words).items():
-                s = self.slots.get(word)
+            slots, n = [], []
+            for word, k in Counter(words).items():
+                s = known.get(word)
                 if s is None:
                     s = self._slot(word)
                 if s >= 0:
-                    slot.append(s)
-                    times.append(n)
-                    row.append(i)
-        out = np.zeros((len(texts), self.n_units))
-        slot, times, row = np.array(slot, dtype=np.int64), np.array(times, dtype=np.float64), np.array(row, dtype=np.int64)
-        if self.idf is None:
-            times[:] = 1.0  # a repeated word asks once
-        step = max(1, CELLS // self.n_units)
-        for a in range(0, len(slot), step):
-            part = self.vectors[slot[a : a + step]] * times[a : a + step, None]
-            first = np.flatnonzero(np.diff(row[a : a + step], prepend=-1))
-            out[row[a + first]] += np.add.reduceat(part, first, axis=0)
-        if self.idf is not None and len(slot):
-            held = [self.held[s] for s in slot]
+                    slots.append(s)
+                    n.append(k)
+            # a repeated word asks once for words, and counts as often as it comes for n-grams
+            of = np.array(n, dtype=np.float64) if self.idf is not None else np.ones(len(n))
+            for at in range(0, len(slots), step):
+                out[i] += of[at : at + step] @ self.vectors[slots[at : at + step]]
+            if self.idf is not None and slots:
+                held += [self.held[s] for s in slots]
+                times.append(of)
+                row.append(np.full(len(slots), i))
+        if held:
             size = np.array([len(h) for h in held])
-            keys = np.repeat(row, size) * len(self.idf) + np.concatenate(held)
+            keys = np.repeat(np.concatenate(row), size) * len(self.idf) + np.concatenate(held)
             found, at = np.unique(keys, return_inverse=True)
-            w = np.bincount(at, np.repeat(times, size)) * self.idf[found % len(self.idf)]
+            w = np.bincount(at, np.repeat(np.concatenate(times), size)) * self.idf[found % len(self.idf)]
             norm = np.sqrt(np.bincount(found // len(self.idf), w * w, len(texts)))
             out /= np.where(norm > 0, norm, 1.0)[:, None]
         return round_half_up(out, 6)

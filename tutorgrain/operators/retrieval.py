@@ -199,7 +199,9 @@ def fused_top(queries: DataFrame, key: str, text: str, library: DataFrame, cut:
         score = L.round_half_up(parts[0] + parts[1], 9)
         count = (ranks[0] > 0).astype(np.int64) + (ranks[1] > 0)
         best = np.minimum(*[np.where(r > 0, r, cut + 1) for r in ranks])
-        order = np.lexsort((best, -count, -score), axis=1)[:, :top]
+        # one number per unit in the order of score, sources, best rank and unit
+        place = ((np.rint(-score * 1e9).astype(np.int64) * 3 - count) * (cut + 2) + best) * score.shape[1] + np.arange(score.shape[1])
+        order = np.argsort(place, axis=1)[:, :top]
         fused = np.zeros(score.shape, dtype=np.int32)
         np.put_along_axis(fused, order, np.arange(1, order.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
         fused[count == 0] = 0
@@ -231,7 +233,9 @@ def hybrid_top(queries: DataFrame, key: str, library: DataFrame, top_k: int = 40
         single = ((bm > 0) & (ch == 0)) | ((ch > 0) & (bm == 0))
         hybrid = L.round_half_up((0.65 * bm + 0.35 * ch) * np.where(single & (agree <= 1), 0.70, 1.0), 6)
         inside = np.minimum(b_rank, c_rank) <= top_k
-        order = np.lexsort((-agree, np.where(inside, -hybrid, np.inf)), axis=1)[:, :top_k]
+        # one number per unit in the order of score, agreement and unit, those outside last
+        place = (np.rint(-np.where(inside, hybrid, -1.0) * 1e6).astype(np.int64) * 4 - agree) * hybrid.shape[1] + np.arange(hybrid.shape[1])
+        order = np.argsort(place, axis=1)[:, :top_k]
         rank = np.zeros(hybrid.shape, dtype=np.int32)
         np.put_along_axis(rank, order, np.arange(1, order.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
         rank[~inside] = 0
