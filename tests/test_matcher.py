@@ -192,3 +192,54 @@ def test_picked_ranks_equal_joined_tables_and_move_nothing(spark, monkeypatch):
         assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in joined.schema], name
         got = plain(df)
         assert got and got == plain(joined.select(df.columns)), name
+
+
+RICH = (
+    "unit_id string, canonical_name string, definition_or_summary string, topic_path array<string>, source_hierarchy_path array<string>, negative_profile struct<sibling_kc_names:array<string>,near_miss_or_gap_context:array<string>>, context_profile struct<leaf_topic:string>, "
+    "positive_profile struct<canonical_terms:array<string>,matching_cues:array<string>,likely_dialogue_surface_forms:array<string>,formula_or_symbol_forms:array<string>>"
+)
+
+
+def rich_library():
+    """Units with every kind of field, more rare tokens than one number holds, repeated phrases and equal scores."""
+    rng = random.Random(9)
+    vocabulary = ["slope", "matrix", "k-means", "NB", "X1", "SSE of", "the fold", "row", "IT", "prune", "leaf", "two", "depth", "basis", "of", "Ünï", "gain", "SVM"]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    some = lambda n, m: rng.choice([None, [], [say(rng.randint(1, m)) for _ in range(n)], [say(rng.randint(1, m)) for _ in range(n)]])
+    units = []
+    for i in range(40):
+        cues = some(5, 4)
+        long = f"word{i} " + " ".join(f"word{rng.randint(0, 500)}" for _ in range(rng.choice([0, 20, 150])))
+        units.append((f"u{i:02d}", say(2), rng.choice([None, say(9), long]), [say(2)], rng.choice([None, [say(2)]]), (some(3, 3), some(1, 5)), (rng.choice([None, say(2)]),), (some(2, 3), cues and [*cues, cues[0]], some(4, 6), some(3, 2))))
+    units += [("v1", *units[3][1:]), ("v2", None, None, None, None, None, None, None)]
+    text = lambda: " ".join(rng.choice([say(3), f"word{rng.randint(0, 500)}"]) for _ in range(rng.randint(1, 12)))
+    texts = [(f"q{i}", text(), text()) for i in range(150)] + [("none", None, None), ("blank", "  ", ""), ("odd", "the \t zzz", "slope\nslope"), (None, text(), text())]
+    texts += [(f"w{i}", " ".join(f"word{rng.randint(0, 500)}" for _ in range(200)), units[i][2]) for i in range(9)]
+    return units, texts
+
+
+def rich_frames(spark):
+    units, texts = rich_library()
+    q = spark.createDataFrame(texts, "q string, student_text string, tutor_text string")
+    return spark.createDataFrame(units, RICH), q.withColumn("combined_text", F.concat_ws(" ", "student_text", "tutor_text"))
+
+
+def rounded(df):
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
+
+
+def equals_joined(monkeypatch, make):
+    df = make()
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    with monkeypatch.context() as m:
+        m.setattr(M, "phrasebook", lambda _: None)
+        joined = make()
+        want = rounded(joined.select(df.columns))
+    assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in joined.schema]
+    got = rounded(df)
+    assert got and got == want
+
+
+def test_hierarchical_fusion_moves_nothing(spark, monkeypatch):
+    lib, q = rich_frames(spark)
+    equals_joined(monkeypatch, lambda: R.hierarchical_top(q, "q", lib, 9, 6))

@@ -8,12 +8,14 @@ more than ``INDEX_ROWS`` postings gives no index, and the caller joins tables in
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,21 +133,36 @@ def index_of(rows: pa.Table, units: list, term: str, weight: str, idf: str | Non
     return Index(terms, term_of, unit_of, rows.column(weight).to_numpy(), len(units), per_term, sizes)
 
 
-def rows_of(queries: DataFrame, key: str, columns: list, unit: T.StructField, units: list, indexes: tuple[Index, ...], pick: Callable, schema: list[tuple[str, T.DataType]]) -> DataFrame:
-    """(key, unit_id, ...) of ``pick``: it gets the indexes and the texts' words by column, and gives (text, unit, columns)."""
-    names = [key, "unit_id", *[n for n, _ in schema]]
-    fields = T.StructType([T.StructField(key, queries.schema[key].dataType), T.StructField("unit_id", unit.dataType), *[T.StructField(n, t) for n, t in schema]])
-    shared = queries.sparkSession.sparkContext.broadcast((units, indexes))
+def mapped(queries: DataFrame, key: str, columns: list, schema: list[T.StructField], known: object, pick: Callable) -> DataFrame:
+    """(key, ...) of ``pick``: it gets ``known`` and the texts' columns, and gives the places of its rows' texts and their columns."""
+    fields = T.StructType([T.StructField(key, queries.schema[key].dataType), *schema])
+    # pickled with its classes, and opened once a worker: what is worked out there serves its later tasks
+    shared = queries.sparkSession.sparkContext.broadcast([cloudpickle.dumps(known)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, indexes = shared.value
-        label = None
+        kept = shared.value
+        if len(kept) == 1:
+            kept.append(pickle.loads(kept[0]))
         for batch in batches:
             for a in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(a, TEXTS)
-                words = [[[w for w in t.split(" ") if w] for t in c.to_pylist()] for c in part.columns[1:]]
-                text, at, values = pick(indexes, words)
-                label = pa.array(units) if label is None else label
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), label.take(pa.array(at)), *values], names=names)
+                text, values = pick(kept[1], part.columns[1:])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text, pa.int64())), *values], names=fields.names)
 
     return queries.select(F.col(key), *columns).mapInArrow(scan, fields)
+
+
+def words_of(column: pa.Array) -> list[list[str]]:
+    return [[w for w in t.split(" ") if w] for t in column.to_pylist()]
+
+
+def rows_of(queries: DataFrame, key: str, columns: list, unit: T.StructField, units: list, indexes: tuple[Index, ...], pick: Callable, schema: list[tuple[str, T.DataType]]) -> DataFrame:
+    """(key, unit_id, ...) of ``pick``: it gets the indexes and the texts' words by column, and gives (text, unit, columns)."""
+
+    def picked(known: tuple, columns: list[pa.Array]) -> tuple:
+        labels, indexes = known
+        text, at, values = pick(indexes, [words_of(c) for c in columns])
+        return text, [labels.take(pa.array(at)), *values]
+
+    fields = [T.StructField("unit_id", unit.dataType), *[T.StructField(n, t) for n, t in schema]]
+    return mapped(queries, key, columns, fields, (pa.array(units), indexes), picked)

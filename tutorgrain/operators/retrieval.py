@@ -14,6 +14,7 @@ from pyspark.sql import types
 
 from tutorgrain.functions import text as T
 from tutorgrain.operators import lexical as L
+from tutorgrain.operators import matcher as M
 
 # fixed values: weight and document-frequency ceiling of each field, and the constants of the scores
 FIELDS = {"canonical": (2.8, 0.65), "identity": (2.4, 0.65), "dialogue_forms": (1.6, 0.55), "topic": (1.0, 0.50), "support": (0.9, 0.50), "definition": (0.55, 0.45)}
@@ -194,21 +195,57 @@ def fused_top(queries: DataFrame, key: str, text: str, library: DataFrame, cut:
         return reciprocal_rank_fusion(ranks, key, k=k).where(F.col("fused_rank") <= top)
 
     def pick(indexes: tuple, words: list) -> tuple:
-        ranks = [L.first_ranks(i.score(w), cut) for i, w in zip(indexes, words)]
-        parts = [np.where(r > 0, 1.0 / (k + r), 0.0) for r in ranks]
-        score = L.round_half_up(parts[0] + parts[1], 9)
-        count = (ranks[0] > 0).astype(np.int64) + (ranks[1] > 0)
-        best = np.minimum(*[np.where(r > 0, r, cut + 1) for r in ranks])
-        # one number per unit in the order of score, sources, best rank and unit
-        place = ((np.rint(-score * 1e9).astype(np.int64) * 3 - count) * (cut + 2) + best) * score.shape[1] + np.arange(score.shape[1])
-        order = np.argsort(place, axis=1)[:, :top]
-        fused = np.zeros(score.shape, dtype=np.int32)
-        np.put_along_axis(fused, order, np.arange(1, order.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
-        fused[count == 0] = 0
-        return _cells(fused, score, count, best.astype(np.int32))
-
-    kinds = [("rrf_score", types.DoubleType()), ("source_count", types.LongType()), ("best_rank", types.IntegerType()), ("fused_rank", types.IntegerType())]
-    return L.rows_of(queries, key, [_query_words(text, "b"), _query_words(text, "c")], library.schema["unit_id"], *known, pick, kinds)
+        score, count, best, fused = _fused([L.first_ranks(i.score(w), cut) for i, w in zip(indexes, words)], k, top)
+        return _cells(fused, score, count, best)
+
+    return L.rows_of(queries, key, [_query_words(text, "b"), _query_words(text, "c")], library.schema["unit_id"], *known, pick, FUSED)
+
+
+FUSED = [("rrf_score", types.DoubleType()), ("source_count", types.LongType()), ("best_rank", types.IntegerType()), ("fused_rank", types.IntegerType())]
+
+
+def _fused(ranks: list[np.ndarray], k: int, top: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(score, sources, best rank, fused rank) of two sources' ranks (texts, units), where 0 is none; fused ranks up to ``top``."""
+    n_units = ranks[0].shape[1]
+    none = n_units + 1
+    parts = [np.where(r > 0, 1.0 / (k + r), 0.0) for r in ranks]
+    score = L.round_half_up(parts[0] + parts[1], 9)
+    count = (ranks[0] > 0).astype(np.int64) + (ranks[1] > 0)
+    best = np.minimum(*[np.where(r > 0, r, none) for r in ranks])
+    # one number per unit in the order of score, sources, best rank and unit
+    place = ((np.rint(-score * 1e9).astype(np.int64) * 3 - count) * (none + 1) + best) * n_units + np.arange(n_units)
+    order = np.argsort(place, axis=1)[:, :top]
+    fused = np.zeros(score.shape, dtype=np.int32)
+    np.put_along_axis(fused, order, np.arange(1, order.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
+    fused[count == 0] = 0
+    return score, count, best.astype(np.int32), fused
+
+
+def hierarchical_top(queries: DataFrame, key: str, library: DataFrame, cut: int = 40, top: int = 10, k: int = RRF_K) -> DataFrame:
+    """:func:`hierarchical_fusion` of the profile ranks of ``student_text`` and ``tutor_text`` and both indexes' first ``cut`` ranks of ``combined_text``."""
+    known, book = _indexes(library, "bc"), M.phrasebook(library)
+    if known is None or book is None:
+        profile = []
+        for view in ("student_text", "tutor_text"):
+            positive = M.score_units(M.evidence(queries, key, view, library), key).where("exact OR identity_score > 0 OR support_score > 0")
+            profile.append(M.rank_units(positive, key, 10**9).select(key, "unit_id", "rank"))
+        lexical = [bm25_top(queries, key, "combined_text", library, cut).withColumnRenamed("bm25_rank", "rank"), char_top(queries, key, "combined_text", library, cut).withColumnRenamed("char_rank", "rank")]
+        return hierarchical_fusion({"profile": profile, "lexical": lexical}, key, k=k).where(F.col("fused_rank") <= top)
+    units, indexes = known
+    at = {u: i for i, u in enumerate(units)}
+    place = np.array([at[u] for u in book.units])
+
+    def pick(known: tuple, columns: list) -> tuple:
+        labels, indexes, book, place = known
+        profile = [M.rank_matrix(book, columns[i : i + 2], place, len(labels)) for i in (0, 2)]
+        lexical = [L.first_ranks(i.score(L.words_of(c)), cut) for i, c in zip(indexes, columns[4:])]
+        score, count, best, fused = _fused([_fused(of, k)[3] for of in (profile, lexical)], k, top)
+        text, unit, values = _cells(fused, score, count, best)
+        return text, [labels.take(pa.array(unit)), *values]
+
+    columns = [*M.asked_texts(key, "student_text"), *M.asked_texts(key, "tutor_text"), _query_words("combined_text", "b"), _query_words("combined_text", "c")]
+    fields = [types.StructField(n, t) for n, t in (("unit_id", library.schema["unit_id"].dataType), *FUSED)]
+    return L.mapped(queries, key, columns, fields, (pa.array(units), indexes, book, place), pick)
 
 
 def hybrid_top(queries: DataFrame, key: str, library: DataFrame, top_k: int = 40) -> DataFrame:

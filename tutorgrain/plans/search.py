@@ -49,26 +49,12 @@ def dense_nn_accuracy(spark, d):
     return best.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("unit") == F.col("label")).cast("double")), 6).alias("accuracy"))
 
 
-def _lexical(spark, d):
-    t, lib = _texts(spark, d), _library(spark, d)
-    b = R.bm25_top(t, "exchange_id", "combined_text", lib, 40).withColumnRenamed("bm25_rank", "rank")
-    c = R.char_top(t, "exchange_id", "combined_text", lib, 40).withColumnRenamed("char_rank", "rank")
-    return b, c
-
-
 def rrf_fuse(spark, d):
     return R.fused_top(_texts(spark, d), "exchange_id", "combined_text", _library(spark, d), 40, 10)
 
 
-def _profile_ranks(spark, d, view):
-    found = M.evidence(_texts(spark, d), "exchange_id", f"{view}_text", _library(spark, d))
-    positive = M.score_units(found, "exchange_id").where("exact OR identity_score > 0 OR support_score > 0")
-    return M.rank_units(positive, "exchange_id", 10**9).select("exchange_id", "unit_id", "rank")
-
-
 def hierarchical_rrf(spark, d):
-    families = {"profile": [_profile_ranks(spark, d, "student"), _profile_ranks(spark, d, "tutor")], "lexical": list(_lexical(spark, d))}
-    return R.hierarchical_fusion(families, "exchange_id").where("fused_rank <= 10")
+    return R.hierarchical_top(_texts(spark, d), "exchange_id", _library(spark, d))
 
 
 def matcher_evidence(spark, d):
