@@ -243,3 +243,9 @@ def equals_joined(monkeypatch, make):
 def test_hierarchical_fusion_moves_nothing(spark, monkeypatch):
     lib, q = rich_frames(spark)
     equals_joined(monkeypatch, lambda: R.hierarchical_top(q, "q", lib, 9, 6))
+
+
+def test_evidence_moves_nothing(spark, monkeypatch):
+    lib, q = rich_frames(spark)
+    for view in ("combined_text", "tutor_text"):
+        equals_joined(monkeypatch, lambda: M.evidence(q, "q", view, lib))

@@ -70,6 +70,12 @@ def is_rare(df: Column, units: Column) -> Column:
     return (F.coalesce(df, F.lit(0)) <= F.greatest(F.lit(2), F.floor(units * 0.03))) | (specificity(df, units) >= math.log(4.0))
 
 
+EVIDENCE = [types.StructField(n, t) for n, t in (
+    ("unit_id", types.StringType()), ("field", types.StringType()), ("kind", types.StringType()), ("cap", types.DoubleType()), ("phrase_no", types.IntegerType()), ("match_kind", types.StringType()),
+    ("matched_text", types.StringType()), ("score", types.DoubleType()), ("specificity", types.DoubleType()), ("accepted", types.BooleanType()), ("short_reject", types.BooleanType()),
+)]
+
+
 def phrasebook(library: DataFrame) -> P.Phrasebook | None:
     """The library's phrases for Arrow batches; None if they are many, or if their unit ids are repeated or no strings."""
     if library.schema["unit_id"].dataType != types.StringType():
@@ -96,6 +102,21 @@ def asked_texts(key: str, text: str) -> list[Column]:
     return [T.match_normal(said), F.array_join(T.acronyms(said), " ")]
 
 
+def evidence(texts: DataFrame, key: str, text: str, library: DataFrame) -> DataFrame:
+    """(key, unit_id, field, kind, cap, phrase_no, match_kind, matched_text, score, specificity, accepted, short_reject).
+
+    Texts without a key give none.
+    """
+    if (book := phrasebook(library)) is None:
+        return joined_evidence(texts, key, text, library)
+
+    def pick(book: P.Phrasebook, columns: list) -> tuple:
+        at, ids = book.find(*columns)
+        return at, book.evidence(ids)
+
+    return L.mapped(texts, key, asked_texts(key, text), EVIDENCE, book, pick)
+
+
 def rank_matrix(book: P.Phrasebook, columns: list, place: np.ndarray, units: int) -> np.ndarray:
     """(texts, units): ranks from 1 of the units with positive evidence, else 0; ``place`` has the book's units' places."""
     s = book.score(*book.find(*columns))
@@ -108,8 +129,8 @@ def rank_matrix(book: P.Phrasebook, columns: list, place: np.ndarray, units: int
     return out
 
 
-def evidence(texts: DataFrame, key: str, text: str, library: DataFrame) -> DataFrame:
-    """(key, unit_id, field, kind, cap, match_kind, matched_text, score, specificity, accepted, short_reject, exact)."""
+def joined_evidence(texts: DataFrame, key: str, text: str, library: DataFrame) -> DataFrame:
+    """:func:`evidence` as joins of keys, for libraries of any size."""
     reps = phrases(library)
     token_df, phrase_df, units = specificity_tables(reps)
     n = units.first()[0]
