@@ -245,6 +245,12 @@ def test_hierarchical_fusion_moves_nothing(spark, monkeypatch):
     equals_joined(monkeypatch, lambda: R.hierarchical_top(q, "q", lib, 9, 6))
 
 
+@pytest.mark.parametrize("top", [4, 1000])
+def test_ranked_units_move_nothing(spark, monkeypatch, top):
+    lib, q = rich_frames(spark)
+    equals_joined(monkeypatch, lambda: M.ranked_units(q, "q", "combined_text", lib, top))
+
+
 def test_evidence_moves_nothing(spark, monkeypatch):
     lib, q = rich_frames(spark)
     for view in ("combined_text", "tutor_text"):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types
@@ -117,6 +118,26 @@ def evidence(texts: DataFrame, key: str, text: str, library: DataFrame) -> DataF
     return L.mapped(texts, key, asked_texts(key, text), EVIDENCE, book, pick)
 
 
+def ranked_units(texts: DataFrame, key: str, text: str, library: DataFrame, top_k: int = 10) -> DataFrame:
+    """:func:`rank_units` of :func:`score_units` of :func:`evidence`; a small library's units are ranked where the texts lie."""
+    if (book := phrasebook(library)) is None:
+        return rank_units(score_units(joined_evidence(texts, key, text, library), key), key, top_k)
+
+    def pick(book: P.Phrasebook, columns: list) -> tuple:
+        s = book.score(*book.find(*columns))
+        at, rank = book.ranks(s)
+        at, rank = at[rank <= top_k], rank[rank <= top_k]
+        states = pa.array(P.STATE_NAMES)
+        return s["text"][at], [
+            pa.array(book.units).take(pa.array(s["unit"][at], pa.int64())), *[pa.array(s[c][at], pa.float64()) for c in ("identity", "support", "negative")],
+            pa.array(s["exact"][at], pa.bool_()), pa.array(s["score"][at], pa.float64()), states.take(pa.array(s["state"][at], pa.int64())), pa.array(rank, pa.int32()),
+        ]
+
+    d, n = types.DoubleType(), ("identity_score", "support_score", "negative_score")
+    fields = [("unit_id", types.StringType()), *[(c, d) for c in n], ("exact", types.BooleanType()), ("score", d), ("state", types.StringType()), ("rank", types.IntegerType())]
+    return L.mapped(texts, key, asked_texts(key, text), [types.StructField(c, t) for c, t in fields], book, pick)
+
+
 def rank_matrix(book: P.Phrasebook, columns: list, place: np.ndarray, units: int) -> np.ndarray:
     """(texts, units): ranks from 1 of the units with positive evidence, else 0; ``place`` has the book's units' places."""
     s = book.score(*book.find(*columns))

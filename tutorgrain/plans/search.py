@@ -62,7 +62,7 @@ def matcher_evidence(spark, d):
 
 
 def matcher_rank(spark, d):
-    return M.rank_units(M.score_units(matcher_evidence(spark, d), "exchange_id"), "exchange_id")
+    return M.ranked_units(_texts(spark, d), "exchange_id", "student_text", _library(spark, d))
 
 
 def token_df(spark, d):
