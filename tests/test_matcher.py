@@ -5,10 +5,14 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tutorgrain.functions import text as T
 from tutorgrain.functions.text import FUNCTION_WORDS, NUMBER_WORDS, PEDAGOGY_WORDS, RETRIEVAL_STOPWORDS
+from tutorgrain.operators import exchanges as X
+from tutorgrain.operators import lexical as L
 from tutorgrain.operators import matcher as M
 from tutorgrain.operators import retrieval as R
 
@@ -255,3 +259,39 @@ def test_evidence_moves_nothing(spark, monkeypatch):
     lib, q = rich_frames(spark)
     for view in ("combined_text", "tutor_text"):
         equals_joined(monkeypatch, lambda: M.evidence(q, "q", view, lib))
+
+
+def test_char_scores_at_every_white_space_and_in_long_texts(spark, monkeypatch):
+    # words part at Spark's white space only; a text beyond the words counted at once scores as a short one does
+    said = {"tab": "slope\tNB", "page": "slope\x0bNB\x0c\r\nslope", "wide": "slope\u2003NB slope\u00a0NB", "long": "slope NB fold " * 9 + "matrix", "none": " \n", "null": None}
+    lib, q = spark.createDataFrame(library(2)[0], LIBRARY), spark.createDataFrame(list(said.items()), "q string, t string")
+    want = R.char_tfidf(q, "q", "t", lib).where("char_rank <= 6").collect()
+    for words in (10_000, 7):
+        monkeypatch.setattr(L, "WORDS", words)
+        assert sorted(map(tuple, R.char_top(q, "q", "t", lib, 6).collect())) == sorted(map(tuple, want))
+        found = R._indexes(lib, "c")[1][0]
+        lengths = found.score(L.words_of(pa.array(["slope NB fold " * 9 + "matrix", "slope"])))
+        assert (lengths[1] == found.score([[b"slope"]])[0]).all() and (lengths[0] > 0).any()
+
+
+def test_one_speakers_texts_keep_all_runs(spark):
+    rows = [
+        (1, "a", "a::t_0000", "student", "  slope\t fold "), (2, "a", "a::t_0001", "Tutor", "yes"), (3, "a", "a::t_0001", "student", "later row"), (4, None, "a::t_0002", "user", "NB\r\n\n\n\nfold\u00a0"),
+        (5, "a", "a::t_0003", "learner", None), (6, "a", "a::t_0004", None, "noise"), (7, "b", "b::t_0007", "tutor", "alone"), (8, "b", "b::none", "student", "no number"),
+    ]
+    rows = spark.createDataFrame(rows, "row_id long, dialogue_id string, turn_id string, role string, text string")
+    kept = lambda turns: X.run_exchanges(turns).drop("tutor_text", "status", "flags").orderBy("exchange_id")
+    one = kept(X.dialogue_turns(rows, spoken_by="student"))
+    assert one.collect() == kept(X.dialogue_turns(rows)).collect() and one.count() == 4
+    # one shuffle brings a dialogue together, and nothing of another speaker's text goes through it
+    plan = X.run_exchanges(X.dialogue_turns(rows, spoken_by="student")).select("exchange_id", "student_text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_normal_texts_skip_no_change(spark):
+    ends = ["", " ", "\t", "\n", "\r", "\r\n", "\x0b", "\x0c", "\u00a0", "\u0085", "\u2028", "\u2029", "\n\n\n", "  ", " \u2028", "\u00a0\u0085", "\u2003", "\x01"]
+    texts = [a + "slope" + m + "fold" + z for a in ends for m in ("", " ", "\n \n", "\r", "\n\n\n\n", "\t", "  ", "\u00a0") for z in ends] + [None, *ends]
+    plain = F.regexp_replace(F.coalesce("t", F.lit("")), "\r\n?", "\n")
+    plain = T.strip(F.regexp_replace(F.regexp_replace(plain, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").unionByName(spark.range(1).select(F.expr("CAST(X'61FF62' AS STRING)").alias("t")))
+    assert df.where(~T.normalize_text(F.col("t")).eqNullSafe(plain)).count() == 0

@@ -64,9 +64,18 @@ def strip(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Line ends as LF, runs of blanks and tabs as one blank, at most one empty line, no white space at the ends."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
-    return strip(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    """Line ends as LF, runs of blanks and tabs as one blank, at most one empty line, no white space at the ends.
+
+    Most texts are normal already: a look at their bytes tells, and only the others meet the regular expressions.
+    """
+    t = F.coalesce(text, F.lit(""))
+    odd = (t < "!") | t.startswith("\u00a0") | ~F.is_valid_utf8(t)
+    for part in ("\r", "\t", "  ", "\n\n\n"):
+        odd = odd | t.contains(part)
+    for end in (" ", "\n", "\x0b", "\f", "\u00a0", "\u0085", "\u2028", "\u2029"):  # also those that $ lets follow
+        odd = odd | t.endswith(end)
+    out = F.regexp_replace(t, "\r\n?", "\n")
+    return F.when((t != "") & odd, strip(F.regexp_replace(F.regexp_replace(out, "[ \t]+", " "), "\n{3,}", "\n\n"))).otherwise(t)
 
 
 def words(text: Column) -> Column:

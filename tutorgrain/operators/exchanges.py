@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from tutorgrain.functions import text as T
 
 
-def dialogue_turns(rows: DataFrame) -> DataFrame:
+def dialogue_turns(rows: DataFrame, spoken_by: str | None = None) -> DataFrame:
     """(d, n, speaker, body, flags) of message rows, one row per dialogue and turn number: that of the lowest row id.
 
     A null dialogue id is read from ``turn_id``; rows without a turn number are left out; repeated rows count once.
+    With ``spoken_by`` only this speaker's turns have a body, and a dialogue's rows are brought together once, so that
+    windows over it need no further shuffle or sort.
     """
+    text = F.col("text") if spoken_by is None else F.when(T.canonical_speaker(F.col("role")) == spoken_by, F.col("text"))
     parsed = rows.select(
         F.coalesce("dialogue_id", F.split_part("turn_id", F.lit("::"), F.lit(1))).alias("d"),
         F.expr("try_cast(regexp_extract(turn_id, '([0-9]+)$', 1) AS INT)").alias("n"),
-        F.struct("row_id", "role", "text").alias("x"),
+        F.struct("row_id", "role", text.alias("text")).alias("x"),
     ).where("n IS NOT NULL AND d IS NOT NULL")
+    if spoken_by is not None:
+        parsed = parsed.repartition("d")
     first = parsed.groupBy("d", "n").agg(F.min("x").alias("x"))
     turns = first.select("d", "n", T.canonical_speaker(F.col("x.role")).alias("speaker"), T.normalize_text(F.col("x.text")).alias("body"))
     return turns.withColumn("flags", T.noise_flags(F.col("body")))
@@ -46,11 +51,12 @@ def run_exchanges(turns: DataFrame) -> DataFrame:
     out = grouped.groupBy("d", "g").agg(
         F.min("n").alias("turn_start"), F.max("n").alias("turn_end"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "speaker"))), lambda x: F.upper(F.substring(x.speaker, 1, 1))), "").alias("roles_pattern"),
-        T.normalize_text(_joined(F.collect_list(F.when(now == "student", item)))).alias("student_text"),
-        T.normalize_text(_joined(F.collect_list(F.when(now == "tutor", item)))).alias("tutor_text"),
+        _joined(F.collect_list(F.when(now == "student", item))).alias("student_text"),
+        _joined(F.collect_list(F.when(now == "tutor", item))).alias("tutor_text"),
         F.count_if(now == "student").alias("ns"), F.count_if(now == "tutor").alias("nt"), F.count_if(now == "unknown").alias("nu"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"),
     )
+    out = out.withColumns({c: T.normalize_text(F.col(c)) for c in ("student_text", "tutor_text")})
     status = (
         F.when(F.col("nu") > 0, "unknown_speaker_present")
         .when(F.col("ns") == 0, "missing_student")

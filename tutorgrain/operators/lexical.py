@@ -9,7 +9,6 @@ more than ``INDEX_ROWS`` postings gives no index, and the caller joins tables in
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
@@ -24,16 +23,22 @@ INDEX_ROWS, INDEX_UNITS = 1_000_000, 20_000
 TEXTS = 256  # texts scored at once
 HALF = Decimal("0.5")
 CELLS, CACHED = 2_000_000, 8_000_000  # numbers of one step and of the kept word vectors
+WORDS = 10_000  # words whose n-grams are counted at once
+ONCE = np.ones(WORDS)
 
 
 def round_half_up(x: np.ndarray, digits: int) -> np.ndarray:
     """Values from zero on, rounded as Spark does: a half by a value's shortest decimal form goes up."""
-    scaled = x * 10.0**digits
-    whole = np.floor(scaled)
-    up = scaled - whole >= 0.5
-    for at in zip(*np.nonzero(np.abs(scaled - whole - 0.5) < 1e-4)):
+    part = x * 10.0**digits
+    whole = np.floor(part)
+    part -= whole
+    up = part >= 0.5
+    part -= 0.5
+    for at in zip(*np.nonzero(np.abs(part, out=part) < 1e-4)):
         up[at] = Decimal(repr(float(x[at]))).scaleb(digits) - int(whole[at]) >= HALF
-    return (whole + up) / 10.0**digits
+    whole += up
+    whole /= 10.0**digits
+    return whole
 
 
 class Index:
@@ -47,17 +52,18 @@ class Index:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[str, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.vectors, self.held, self.used = np.zeros((64, self.n_units)), [], 0
 
-    def _slot(self, word: str) -> int:
+    def _slot(self, letters: bytes) -> int:
+        word = letters.decode(errors="replace")
         if self.idf is None:
             terms = [self.ids[word]] if word in self.ids else []
         else:
             padded = f" {word} "
             terms = [t for n in self.sizes for i in range(len(padded) - n + 1) if (t := self.ids.get(padded[i : i + n])) is not None]
         if not terms:
-            self.slots[word] = -1
+            self.slots[letters] = -1
             return -1
         if self.used == len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
@@ -65,43 +71,69 @@ class Index:
         weight = [self.weight[s] if self.idf is None else self.weight[s] * self.idf[t] for s, t in zip(at, terms)]
         self.vectors[self.used] = np.bincount(np.concatenate([self.unit[s] for s in at]), np.concatenate(weight), self.n_units)
         self.held.append(np.array(terms))
-        self.slots[word] = self.used
+        self.slots[letters] = self.used
         self.used += 1
         return self.used - 1
 
-    def score(self, texts: list[list[str]]) -> np.ndarray:
+    def _slots(self, words: list[bytes]) -> np.ndarray:
+        """The slots of a text's words that meet the index; a repeated word comes once for words, as often as it is there for n-grams."""
+        known = self.slots
+        if self.idf is None:
+            words = list(dict.fromkeys(words))
+        try:
+            slots = [known[w] for w in words]
+        except KeyError:
+            slots = [known[w] if w in known else self._slot(w) for w in words]
+        return np.array([s for s in slots if s >= 0], dtype=np.int64)
+
+    def score(self, texts: list[list[bytes]]) -> np.ndarray:
         """Scores (texts, units) of texts given as words, rounded to six places."""
         if self.used * self.n_units > CACHED or len(self.slots) > 500_000:
             self.forget()
         out = np.zeros((len(texts), self.n_units))
-        step, known = max(1, CELLS // self.n_units), self.slots
-        held, times, row = [], [], []
+        norm, step = np.zeros(len(texts)), max(1, CELLS // self.n_units)
+        rows, parts, size = [], [], 0
         for i, words in enumerate(texts):
-            slots, n = [], []
-            for word, k in Counter(words).items():
-                s = known.get(word)
-                if s is None:
-                    s = self._slot(word)
-                if s >= 0:
-                    slots.append(s)
-                    n.append(k)
-            # a repeated word asks once for words, and counts as often as it comes for n-grams
-            of = np.array(n, dtype=np.float64) if self.idf is not None else np.ones(len(n))
+            slots = self._slots(words)
+            # a long text's words are counted, so that it takes no more room than the words the index knows
+            slots, times = np.unique(slots, return_counts=True) if len(slots) > WORDS else (slots, ONCE[: len(slots)])
             for at in range(0, len(slots), step):
-                out[i] += of[at : at + step] @ self.vectors[slots[at : at + step]]
-            if self.idf is not None and slots:
-                held += [self.held[s] for s in slots]
-                times.append(of)
-                row.append(np.full(len(slots), i))
-        if held:
-            size = np.array([len(h) for h in held])
-            keys = np.repeat(np.concatenate(row), size) * len(self.idf) + np.concatenate(held)
-            found, at = np.unique(keys, return_inverse=True)
-            w = np.bincount(at, np.repeat(np.concatenate(times), size)) * self.idf[found % len(self.idf)]
-            norm = np.sqrt(np.bincount(found // len(self.idf), w * w, len(texts)))
+                out[i] += times[at : at + step] @ self.vectors.take(slots[at : at + step], axis=0)
+            if self.idf is None or not len(slots):
+                continue
+            if len(words) > WORDS:
+                norm[i] = self._length(slots, times)
+                continue
+            rows.append(i)
+            parts.append(slots)
+            size += len(slots)
+            if size > WORDS:
+                norm[rows] = self._lengths(parts)
+                rows, parts, size = [], [], 0
+        if rows:
+            norm[rows] = self._lengths(parts)
+        if self.idf is not None:
             out /= np.where(norm > 0, norm, 1.0)[:, None]
         return round_half_up(out, 6)
 
+    def _lengths(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Lengths of the n-gram vectors of texts given as slots, each as often as its word comes."""
+        held = [self.held[s] for at in texts for s in at.tolist()]
+        size = np.fromiter(map(len, held), dtype=np.int64, count=len(held))
+        row, bits = np.repeat(np.arange(len(texts)), [len(at) for at in texts]), len(self.idf).bit_length()
+        keys = np.repeat(row << bits, size) | np.concatenate(held)
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        w = np.diff(first, append=len(keys)) * self.idf[keys[first] & ((1 << bits) - 1)]
+        return np.sqrt(np.bincount(keys[first] >> bits, w * w, len(texts)))
+
+    def _length(self, slots: np.ndarray, times: np.ndarray) -> float:
+        """The length of one text's n-gram vector, its different words and their numbers given."""
+        tf = np.zeros(len(self.idf))
+        for s, n in zip(slots.tolist(), times.tolist()):
+            np.add.at(tf, self.held[s], n)
+        return float(np.sqrt(np.sum((tf * self.idf) ** 2)))
+
 
 def first_ranks(score: np.ndarray, k: int) -> np.ndarray:
     """Ranks from 1 by falling score, then unit; 0 beyond ``k`` and for scores that are not positive."""
@@ -152,8 +184,9 @@ def mapped(queries: DataFrame, key: str, columns: list, schema: list[T.StructFie
     return queries.select(F.col(key), *columns).mapInArrow(scan, fields)
 
 
-def words_of(column: pa.Array) -> list[list[str]]:
-    return [[w for w in t.split(" ") if w] for t in column.to_pylist()]
+def words_of(column: pa.Array) -> list[list[bytes]]:
+    r"""A column's words; bytes part at what `\s` means to Spark, strings at other blanks, too."""
+    return [t.split() for t in column.cast(pa.binary()).to_pylist()]
 
 
 def rows_of(queries: DataFrame, key: str, columns: list, unit: T.StructField, units: list, indexes: tuple[Index, ...], pick: Callable, schema: list[tuple[str, T.DataType]]) -> DataFrame:

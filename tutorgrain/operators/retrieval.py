@@ -148,8 +148,8 @@ def _indexes(library: DataFrame, kinds: str) -> tuple[list, tuple[L.Index, ...]]
 
 
 def _query_words(text: str, kind: str) -> Column:
-    """A text's words for an index, divided by blanks."""
-    return T.match_normal(F.col(text), True) if kind == "b" else F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " ")
+    """A text's words for an index, divided by white space."""
+    return T.match_normal(F.col(text), True) if kind == "b" else F.lower(F.coalesce(F.col(text), F.lit("")))
 
 
 def _cells(rank: np.ndarray, *values: np.ndarray) -> tuple:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tutorgrain.functions import text as T
+from tutorgrain.operators import exchanges as X
 from tutorgrain.operators import matcher as M
 from tutorgrain.operators import retrieval as R
 from tutorgrain.plans import dialogue
@@ -25,7 +26,8 @@ def bm25_topk(spark, d):
 
 
 def char_tfidf_topk(spark, d):
-    return R.char_top(_texts(spark, d), "exchange_id", "student_text", _library(spark, d), 10)
+    said = X.run_exchanges(X.dialogue_turns(table(spark, d, "turn_rows"), spoken_by="student"))
+    return R.char_top(said.select("exchange_id", "student_text"), "exchange_id", "student_text", _library(spark, d), 10)
 
 
 def hybrid_views(spark, d):
